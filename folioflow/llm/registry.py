@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import fingerprints, licenses, sharding
+from folioflow.llm import bpe, fingerprints, language, licenses, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
     return {
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_license_scan": licenses.op5_license_scan,
+        "op7_language_id": language.op7_language_id,
+        "op9_bpe": bpe.op9_bpe,
         "op10_sharding": sharding.op10_sharding,
     }
 
@@ -19,5 +21,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_document_fingerprints": fingerprints.oracle(),
         "op5_license_scan": licenses.oracle(),
+        "op7_language_id": language.oracle(),
         "op10_sharding": sharding.oracle(),
     }
