@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, fingerprints, language, licenses, sharding
+from folioflow.llm import bpe, fingerprints, html, language, licenses, quality, sharding
 
 
 def queries() -> dict:
     """Name -> (spark, sf_dir) -> DataFrame."""
     return {
+        "op1_quality_classifier": quality.op1_quality_classifier,
+        "op2_html_extraction": html.op2_html_extraction,
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_language_id": language.op7_language_id,
