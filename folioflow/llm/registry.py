@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, fingerprints, html, language, licenses, quality, sharding
+from folioflow.llm import bpe, decontaminate, fingerprints, html, language, licenses, quality, sharding
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_quality_classifier": quality.op1_quality_classifier,
         "op2_html_extraction": html.op2_html_extraction,
+        "op3_decontamination": decontaminate.op3_decontamination,
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_language_id": language.op7_language_id,
