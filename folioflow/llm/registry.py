@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, decontaminate, fingerprints, html, language, licenses, quality, sharding
+from folioflow.llm import bpe, decontaminate, fingerprints, html, language, licenses, ngramjoin, quality, sharding
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_license_scan": licenses.op5_license_scan,
         "op7_language_id": language.op7_language_id,
+        "op8_ngram_jaccard_join": ngramjoin.op8_ngram_jaccard_join,
         "op9_bpe": bpe.op9_bpe,
         "op10_sharding": sharding.op10_sharding,
     }
@@ -25,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_document_fingerprints": fingerprints.oracle(),
         "op5_license_scan": licenses.oracle(),
         "op7_language_id": language.oracle(),
+        "op8_ngram_jaccard_join": ngramjoin.oracle(),
         "op10_sharding": sharding.oracle(),
     }
