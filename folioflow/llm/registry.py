@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import bpe, decontaminate, fingerprints, html, language, licenses, ngramjoin, quality, sharding
+from folioflow.llm import bpe, decontaminate, fingerprints, html, language, licenses, ngramjoin, quality, sharding, substrings
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_decontamination": decontaminate.op3_decontamination,
         "op4_document_fingerprints": fingerprints.op4_document_fingerprints,
         "op5_license_scan": licenses.op5_license_scan,
+        "op6_substring_dedup": substrings.op6_substring_dedup,
         "op7_language_id": language.op7_language_id,
         "op8_ngram_jaccard_join": ngramjoin.op8_ngram_jaccard_join,
         "op9_bpe": bpe.op9_bpe,
@@ -25,6 +26,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_document_fingerprints": fingerprints.oracle(),
         "op5_license_scan": licenses.oracle(),
+        "op6_substring_dedup": substrings.oracle(),
         "op7_language_id": language.oracle(),
         "op8_ngram_jaccard_join": ngramjoin.oracle(),
         "op10_sharding": sharding.oracle(),

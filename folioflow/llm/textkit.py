@@ -119,7 +119,15 @@ def ready(df: DataFrame) -> None:
     """Use the cluster's checkpoint folder; set one only where none is set."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+
+
+def shared_folder(spark) -> str:
+    """The folder that the cluster names for what all executors share; a new local one only where none is named."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
         import tempfile
 
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = tempfile.mkdtemp(prefix="checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
