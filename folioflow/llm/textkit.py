@@ -7,6 +7,7 @@ DuckDB (``SQL_WORDS``).
 
 from __future__ import annotations
 
+import gc
 import re
 from itertools import chain
 
@@ -104,15 +105,40 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = 3_000_000):
         start = stop
 
 
+def pack_planes(columns: list[np.ndarray], kinds: tuple) -> bytes:
+    """Columns as bytes, all first bytes of a column before all second ones, which compresses well."""
+    n = len(columns[0])
+    planes = [np.ascontiguousarray(c, k).view(np.uint8).reshape(n, -1).T.tobytes() for c, k in zip(columns, kinds, strict=True)] if n else []
+    return np.int64(n).tobytes() + b"".join(planes)
+
+
+def unpack_planes(data: bytes, kinds: tuple) -> list[np.ndarray]:
+    """What :func:`pack_planes` packed."""
+    n, at, out = int(np.frombuffer(data[:8], np.int64)[0]), 8, []
+    for k in kinds:
+        size = np.dtype(k).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel() if n else np.zeros(0, k))
+        at += n * size
+    return out
+
+
 def partitions(df: DataFrame) -> int:
     """The number of shuffle partitions that the session is set to."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through files in the shared checkpoint folder."""
+    """Cut the lineage through files in the shared checkpoint folder.
+
+    Spark deletes shuffle files when the driver's garbage collector finds
+    that nothing can read them again, which it may not do for half an hour.
+    """
     ready(df)
-    return df.checkpoint()
+    out = df.checkpoint()
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def ready(df: DataFrame) -> None:
