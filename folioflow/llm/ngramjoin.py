@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.textkit import SQL_WORDS, Rolling, TokenHashes, checkpointed, hashed, partitions, slices, tokens_of, window_starts
+from folioflow.llm.textkit import SQL_WORDS, Rolling, TokenHashes, checkpointed, hashed, mix64, pack_planes, partitions, slices, tokens_of, unpack_planes, window_starts
 
 GRAM = 3
 SIMILARITY = 0.5
@@ -43,6 +43,7 @@ FREQUENT = 200_000
 _CHARS = 12_000_000
 #: Candidate pairs that one task verifies at a time.
 _PAIRS = 400_000
+_PAIR = (np.int64, np.int64, np.int32, np.int32)
 
 
 def _gram_sets(texts: list[str | None], cache: TokenHashes) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +193,9 @@ def _sets(rows: DataFrame, good: DataFrame, kind: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(np.diff(edges), pa.int32()), pa.array(blobs, pa.binary()), batch.column(2), batch.column(0)], names=["sid", "n", "grams", "key", "rid"])
 
     kept = rows.join(good, "rid", "left_semi").select("rid", "text", "key").mapInArrow(sets, f"sid bigint, n int, grams binary, key {kind}, rid bigint")
-    return checkpointed(kept.groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.sort_array(F.collect_set(F.struct(F.col("key").isNull().alias("none"), "key", "rid"))).alias("members")).where("n > 0"))
+    found = checkpointed(kept.groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"), F.sort_array(F.collect_set(F.struct(F.col("key").isNull().alias("none"), "key", "rid"))).alias("members")).where("n > 0"))
+    # Small numbers, the same whenever the checkpoint is read, take the place of hashes.
+    return found.select(F.monotonically_increasing_id().alias("sid"), "n", "grams", "members")
 
 
 def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarity: float) -> DataFrame:
@@ -202,32 +205,33 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
 
     def prefixes(batches):
         known, times = shared.value
-        for batch in batches:
-            size = np.asarray(batch.column(1)).astype(np.int64)
-            flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
-            owner = np.repeat(np.arange(len(size)), size)
-            rank = np.zeros(len(flat), np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                rank = np.where(known[at] == flat, times[at], 0)
-            order = np.lexsort((flat, rank, owner))
-            flat, owner = flat[order], owner[order]
-            first = np.cumsum(size) - size
-            place = np.arange(len(flat)) - first[owner]
-            long = np.minimum(size - _least(size, similarity) + _least(size, SHARED), size)
-            use = place < long[owner]
-            grams, owner, place = flat[use], owner[use], place[use]
-            sid = np.asarray(batch.column(0)).astype(np.int64)
-            by = np.argsort(grams, kind="stable")
-            grams, owner, place = grams[by], owner[by], place[by]
-            part = _part(grams, parts)
-            edges = np.searchsorted(part, np.arange(parts + 1))
-            found = [p for p in range(parts) if edges[p] < edges[p + 1]]
-            data = []
-            for p in found:
-                s = slice(edges[p], edges[p + 1])
-                data.append(grams[s].tobytes() + sid[owner[s]].tobytes() + size[owner[s]].astype(np.int32).tobytes() + place[s].astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+        for whole in batches:
+            for batch in slices(whole, 2, _CHARS // 2):
+                size = np.asarray(batch.column(1)).astype(np.int64)
+                flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
+                owner = np.repeat(np.arange(len(size)), size)
+                rank = np.zeros(len(flat), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                    rank = np.where(known[at] == flat, times[at], 0)
+                order = np.lexsort((flat, rank, owner))
+                flat, owner = flat[order], owner[order]
+                first = np.cumsum(size) - size
+                place = np.arange(len(flat)) - first[owner]
+                long = np.minimum(size - _least(size, similarity) + _least(size, SHARED), size)
+                use = place < long[owner]
+                grams, owner, place = flat[use], owner[use], place[use]
+                sid = np.asarray(batch.column(0)).astype(np.int64)
+                by = np.argsort(grams, kind="stable")
+                grams, owner, place = grams[by], owner[by], place[by]
+                part = _part(grams, parts)
+                edges = np.searchsorted(part, np.arange(parts + 1))
+                found = [p for p in range(parts) if edges[p] < edges[p + 1]]
+                data = []
+                for p in found:
+                    s = slice(edges[p], edges[p + 1])
+                    data.append(grams[s].tobytes() + sid[owner[s]].tobytes() + size[owner[s]].astype(np.int32).tobytes() + place[s].astype(np.int32).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
     def pair(table: pa.Table) -> pa.Table:
         columns = [[], [], [], []]
@@ -261,7 +265,7 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
             a, b = np.minimum(local[i], local[j])[ok], np.maximum(local[i], local[j])[ok]
             waiting.append(a * len(ids) + b)
             held += len(a)
-            if held > 4_000_000:
+            if held > 2_000_000:
                 flush()
 
         length = stops - starts
@@ -278,18 +282,36 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
             # Blocks of sizes below the least are skipped: the list is ordered by size.
             first = lo + np.searchsorted(size[lo:hi], _least(size[lo:hi], similarity))
             reach = np.arange(lo, hi) - first
-            for s in range(0, hi - lo, 4096):
-                r = reach[s : s + 4096]
-                j = np.repeat(np.arange(lo + s, lo + s + len(r)), r)
-                i = np.repeat(first[s : s + 4096], r) + np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
+            ends, s = np.cumsum(reach), 0
+            while s < hi - lo:
+                # As many probes at a time as make about a million pairs.
+                stop = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 1_000_000, "right")))
+                r = reach[s:stop]
+                j = np.repeat(np.arange(lo + s, lo + stop), r)
+                i = np.repeat(first[s:stop], r) + np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
                 test(i, j)
+                s = stop
         flush()
         a, b = keys // max(len(ids), 1), keys % max(len(ids), 1)
-        return pa.table([pa.array(ids[a]), pa.array(ids[b]), pa.array(np.minimum(sizes[a], sizes[b])), pa.array(times)], names=["a", "b", "least", "c"])
-
-    listed = sets.select("sid", "n", "grams").mapInArrow(prefixes, "part int, data binary").groupBy("part").applyInArrow(pair, "a bigint, b bigint, least bigint, c bigint")
-    counted = listed.groupBy("a", "b").agg(F.sum("c").alias("c"), F.first("least").alias("least"))
-    return counted.where(F.col("c") >= F.ceil(F.col("least") * SHARED - 1e-9)).select("a", "b")
+        least, a, b = np.minimum(sizes[a], sizes[b]), ids[a], ids[b]
+        to = _part(mix64(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64)), parts)
+        order = np.lexsort((b, a, to))
+        edges = np.searchsorted(to[order], np.arange(parts + 1))
+        found = [p for p in range(parts) if edges[p] < edges[p + 1]]
+        data = [pack_planes([x[order[edges[p] : edges[p + 1]]] for x in (a, b, least, times)], _PAIR) for p in found]
+        return pa.table([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
+
+    def total(table: pa.Table) -> pa.Table:
+        got = [unpack_planes(data, _PAIR) for data in table.column("data").to_pylist()]
+        a, b, least, times = (np.concatenate(c) for c in zip(*got, strict=True))
+        order = np.lexsort((b, a))
+        a, b, least, times = a[order], b[order], least[order], times[order].astype(np.int64)
+        at = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
+        use = at[np.add.reduceat(times, at) >= _least(least[at], SHARED)]
+        return pa.table([pa.array(a[use]), pa.array(b[use])], names=["a", "b"])
+
+    listed = sets.select("sid", "n", "grams").mapInArrow(prefixes, "part int, data binary").groupBy("part").applyInArrow(pair, "part int, data binary")
+    return listed.groupBy("part").applyInArrow(total, "a bigint, b bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float, forest: bool) -> DataFrame:
@@ -395,7 +417,7 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: float, forest: boo
     parts = partitions(docs)
     good, frequent = _shared_docs(rows, parts, similarity)
     sets = _sets(rows, good, docs.schema[key].dataType.simpleString())
-    return sets, _verified(_candidates(sets, frequent, max(1, parts // 4), similarity), sets, similarity, forest)
+    return sets, _verified(_candidates(sets, frequent, max(1, parts // 2), similarity), sets, similarity, forest)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:

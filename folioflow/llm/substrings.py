@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.textkit import SQL_WORDS, TOKEN, Rolling, TokenHashes, checkpointed, hashed, mix64, partitions, slices, tokens_of, window_starts
+from folioflow.llm.textkit import SQL_WORDS, TOKEN, Rolling, TokenHashes, checkpointed, hashed, mix64, pack_planes, partitions, slices, tokens_of, unpack_planes, window_starts
 
 SEED = 25
 _CHARS = 12_000_000
@@ -40,24 +40,8 @@ _RUN = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32)
 _SPAN = (np.int64, np.int32, np.int32, np.int32, np.int32, np.int32)
 
 
-def _pack(columns: list[np.ndarray], kinds: tuple) -> bytes:
-    """Columns as bytes, all first bytes of a column before all second ones."""
-    n = len(columns[0])
-    planes = [np.ascontiguousarray(c, k).view(np.uint8).reshape(n, -1).T.tobytes() for c, k in zip(columns, kinds, strict=True)] if n else []
-    return np.int64(n).tobytes() + b"".join(planes)
-
-
-def _unpack(data: bytes, kinds: tuple) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(data[:8], np.int64)[0]), 8, []
-    for k in kinds:
-        size = np.dtype(k).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(data, np.uint8, n * size, at).reshape(size, n).T).view(k).ravel() if n else np.zeros(0, k))
-        at += n * size
-    return out
-
-
 def _all(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
-    got = [_unpack(b, kinds) for b in blobs]
+    got = [unpack_planes(b, kinds) for b in blobs]
     return [np.concatenate(c) for c in zip(*got, strict=True)] if got else [np.zeros(0, k) for k in kinds]
 
 
@@ -76,7 +60,7 @@ def _sent(where: np.ndarray, parts: int, kind: int, columns: list[np.ndarray], k
     order = np.argsort(where, kind="stable")
     edges = np.searchsorted(where[order], np.arange(parts + 1))
     columns = [c[order] for c in columns]
-    return [(p, kind, _pack([c[edges[p] : edges[p + 1]] for c in columns], kinds)) for p in range(parts) if edges[p] < edges[p + 1]]
+    return [(p, kind, pack_planes([c[edges[p] : edges[p + 1]] for c in columns], kinds)) for p in range(parts) if edges[p] < edges[p + 1]]
 
 
 _SENT = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -268,7 +252,7 @@ def _state(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     def gather(table: pa.Table) -> pa.Table:
         runs = _runs(*_spread(*_all(table.column("data").to_pylist(), _RUN)))
         part = table.column("part")[0].as_py()
-        return _table([(part, 0, _pack(runs, _RUN)), (part, 1, _pack(_spans(runs, length), _SPAN))])
+        return _table([(part, 0, pack_planes(runs, _RUN)), (part, 1, pack_planes(_spans(runs, length), _SPAN))])
 
     windows = rows.join(hits, ["ord", "tag"]).select("ord", "tag", "text", "places").mapInArrow(extend, _SENT_DDL)
     state = checkpointed(windows.groupBy("part").applyInArrow(settle, _SENT_DDL).groupBy("part").applyInArrow(gather, _SENT_DDL))
@@ -286,7 +270,7 @@ def _doubled(state: DataFrame, parts: int, length: int, least: int) -> DataFrame
                 if kind:
                     yield from _batches([(part, kind, data)])
                     continue
-                o, t, p, fo, ft, fp = _spread(*_unpack(data, _RUN))
+                o, t, p, fo, ft, fp = _spread(*unpack_planes(data, _RUN))
                 (doc,) = _documents((o, t))
                 key = (doc << 32) + p
                 at = np.minimum(np.searchsorted(key, key + length), max(len(key) - 1, 0))
@@ -296,7 +280,7 @@ def _doubled(state: DataFrame, parts: int, length: int, least: int) -> DataFrame
                 own = inner & (fo[a] == o[a]) & (ft[a] == t[a]) & (fp[a] == p[a])
                 pick = lambda m: [x[a[m]] for x in (o, t, p, fo, ft, fp)]
                 copied, mine = _runs(*pick(inner & ~own)), _runs(*pick(own))
-                rows = [(part, 0, _pack(copied, _RUN)), (part, 4, _pack(mine, _RUN))]
+                rows = [(part, 0, pack_planes(copied, _RUN)), (part, 4, pack_planes(mine, _RUN))]
                 said = [copied[4], copied[5], copied[6], copied[3], copied[4], copied[5], copied[6]]
                 rows += _sent(_bucket(said[0], said[1], parts), parts, 3, said, _RUN)
                 x, y = a[~inner], b[~inner]
@@ -327,7 +311,7 @@ def _doubled(state: DataFrame, parts: int, length: int, least: int) -> DataFrame
         every = _spread(*runs)
         runs = _runs(*(np.concatenate(x) for x in zip(every, own, strict=True)))
         spans = _longer(_all(by.get(1, []), _SPAN), runs, 2 * length, least)
-        return _table([(part, 0, _pack(runs, _RUN)), (part, 1, _pack(spans, _SPAN))])
+        return _table([(part, 0, pack_planes(runs, _RUN)), (part, 1, pack_planes(spans, _SPAN))])
 
     told = checkpointed(state.mapInArrow(halves, _SENT_DDL))
     named = told.where("kind = 2").groupBy("part").applyInArrow(settle, _SENT_DDL)
@@ -340,7 +324,7 @@ def _opened(state: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for data in batch.column(0).to_pylist():
-                o, t, copy, start, stop, longest = _unpack(data, _SPAN)
+                o, t, copy, start, stop, longest = unpack_planes(data, _SPAN)
                 columns = [pa.array(o), pa.array(t), pa.array(copy.astype(bool)), *(pa.array(x.astype(np.int64)) for x in (start, stop, longest))]
                 yield from pa.Table.from_arrays(columns, names=["ord", "tag", "copy", "start", "stop", "longest"]).to_batches(50_000)
 
