@@ -29,6 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +44,8 @@ FREQUENT = 200_000
 _CHARS = 12_000_000
 #: Candidate pairs that one task verifies at a time.
 _PAIRS = 400_000
+#: Counted pairs that a task holds before it sends them off.
+_HELD = 1_000_000
 _PAIR = (np.int64, np.int64, np.int32, np.int32)
 
 
@@ -247,15 +250,38 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
         grams, local, size, place = grams[order], local[order], size[order].astype(np.int64), place[order].astype(np.int64)
         starts = np.nonzero(np.append(True, grams[1:] != grams[:-1]))[0]
         stops = np.append(starts[1:], len(grams))
-        keys, times, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        keys, times, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int32), [], 0
+        found, data = [], []
 
         def flush():
             nonlocal keys, times, waiting, held
-            every = np.concatenate([keys, *waiting])
-            weights = np.concatenate([times, *(np.ones(len(w), np.int64) for w in waiting)])
-            keys, at = np.unique(every, return_inverse=True)
-            times = np.bincount(at, weights=weights, minlength=len(keys)).astype(np.int64)
+            new = np.concatenate(waiting) if waiting else np.zeros(0, np.int64)
             waiting, held = [], 0
+            new.sort()
+            at = np.nonzero(np.append(True, new[1:] != new[:-1]))[0] if len(new) else np.zeros(0, np.int64)
+            count, new = np.diff(np.append(at, len(new))).astype(np.int32), new[at]
+            at = np.searchsorted(keys, new)
+            old = keys[np.minimum(at, max(len(keys) - 1, 0))] == new if len(keys) else np.zeros(len(new), bool)
+            times[at[old]] += count[old]
+            keys, times = np.insert(keys, at[~old], new[~old]), np.insert(times, at[~old], count[~old])
+            if len(keys) > _HELD:
+                emit()
+
+        def emit():
+            """Send off what is counted so far; counts of a pair are added up where it arrives."""
+            nonlocal keys, times
+            a, b = keys // max(len(ids), 1), keys % max(len(ids), 1)
+            least, a, b = np.minimum(sizes[a], sizes[b]), ids[a], ids[b]
+            to = _part(mix64(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64)), parts)
+            # Keys are in the order of both ids already.
+            order = np.argsort(to.astype(np.int32), kind="stable")
+            edges = np.searchsorted(to[order], np.arange(parts + 1))
+            for p in range(parts):
+                some = order[edges[p] : edges[p + 1]]
+                if len(some):
+                    found.append(p)
+                    data.append(zstandard.compress(pack_planes([x[some] for x in (a, b, least, times)], _PAIR), 1))
+            keys, times = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
         def test(i: np.ndarray, j: np.ndarray) -> None:
             nonlocal held
@@ -265,15 +291,15 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
             a, b = np.minimum(local[i], local[j])[ok], np.maximum(local[i], local[j])[ok]
             waiting.append(a * len(ids) + b)
             held += len(a)
-            if held > 2_000_000:
+            if held > _HELD:
                 flush()
 
         length = stops - starts
         for m in np.unique(length[(length > 1) & (length <= 32)]):
             x, y = np.triu_indices(int(m), 1)
             run = starts[length == m]
-            for k in range(0, len(run), max(1, 1_000_000 // len(x))):
-                some = run[k : k + max(1, 1_000_000 // len(x)), None]
+            for k in range(0, len(run), max(1, 500_000 // len(x))):
+                some = run[k : k + max(1, 500_000 // len(x)), None]
                 i, j = (some + x).ravel(), (some + y).ravel()
                 ok = size[i] >= _least(size[j], similarity)
                 test(i[ok], j[ok])
@@ -284,25 +310,19 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
             reach = np.arange(lo, hi) - first
             ends, s = np.cumsum(reach), 0
             while s < hi - lo:
-                # As many probes at a time as make about a million pairs.
-                stop = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 1_000_000, "right")))
+                # As many probes at a time as make about half a million pairs.
+                stop = max(s + 1, int(np.searchsorted(ends, (ends[s - 1] if s else 0) + 500_000, "right")))
                 r = reach[s:stop]
                 j = np.repeat(np.arange(lo + s, lo + stop), r)
                 i = np.repeat(first[s:stop], r) + np.arange(int(r.sum())) - np.repeat(np.cumsum(r) - r, r)
                 test(i, j)
                 s = stop
         flush()
-        a, b = keys // max(len(ids), 1), keys % max(len(ids), 1)
-        least, a, b = np.minimum(sizes[a], sizes[b]), ids[a], ids[b]
-        to = _part(mix64(a.view(np.uint64) * np.uint64(31) + b.view(np.uint64)), parts)
-        order = np.lexsort((b, a, to))
-        edges = np.searchsorted(to[order], np.arange(parts + 1))
-        found = [p for p in range(parts) if edges[p] < edges[p + 1]]
-        data = [pack_planes([x[order[edges[p] : edges[p + 1]]] for x in (a, b, least, times)], _PAIR) for p in found]
+        emit()
         return pa.table([pa.array(found, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
     def total(table: pa.Table) -> pa.Table:
-        got = [unpack_planes(data, _PAIR) for data in table.column("data").to_pylist()]
+        got = [unpack_planes(zstandard.decompress(data), _PAIR) for data in table.column("data").to_pylist()]
         a, b, least, times = (np.concatenate(c) for c in zip(*got, strict=True))
         order = np.lexsort((b, a))
         a, b, least, times = a[order], b[order], least[order], times[order].astype(np.int64)
@@ -417,7 +437,7 @@ def _joined(docs: DataFrame, key: str, text: str, similarity: float, forest: boo
     parts = partitions(docs)
     good, frequent = _shared_docs(rows, parts, similarity)
     sets = _sets(rows, good, docs.schema[key].dataType.simpleString())
-    return sets, _verified(_candidates(sets, frequent, max(1, parts // 2), similarity), sets, similarity, forest)
+    return sets, _verified(_candidates(sets, frequent, parts, similarity), sets, similarity, forest)
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
