@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that an ASCII reading can keep, applied in this order after NFKC.
 ASCII = [
@@ -21,7 +22,7 @@ ASCII = [
 ]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_ascii(text: pd.Series) -> pd.Series:
     """NFKC, then the table, then only ASCII, trimmed; null for null."""
 

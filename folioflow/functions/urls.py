@@ -53,6 +53,11 @@ def contains_any(text: Column, needles: Iterable[str] | str) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), use)[0]
+
+
 def canonical_url(url: Column, keep_params: bool = False, ignored: Iterable[str] = IGNORED) -> Column:
     """The address by which copies of a page are recognised; null if ignored or malformed.
 
@@ -61,15 +66,19 @@ def canonical_url(url: Column, keep_params: bool = False, ignored: Iterable[str]
     and anchors (unless a page number) go. A virtual path after ``/#/`` is
     kept as it stands.
     """
-    inner = F.rtrim(F.lit("/"), unwrap_archive(F.trim(url)))
-    p = split_url(inner)
-    domain = F.regexp_replace(remove_www(p["domain"]), r"\.m\.wikipedia\.org$", ".wikipedia.org")
-    page = F.rtrim(F.lit("/"), p["page"])
-    params = F.when(F.lit(keep_params) | p["params"].rlike(r"^\?(lang|v)="), p["params"]).otherwise("")
-    anchor = F.when(p["anchor"].startswith("#page="), p["anchor"]).otherwise("")
-    built = F.concat(p["protocol"], F.lit("://"), domain, page, params, anchor)
-    out = F.when(F.contains(inner, F.lit("/#/")), inner).otherwise(built)
-    return F.when(p.isNotNull() & ~contains_any(url, ignored) & ~contains_any(out, ignored), out)
+
+    def build(p: Column) -> Column:
+        domain = F.regexp_replace(remove_www(p["domain"]), r"\.m\.wikipedia\.org$", ".wikipedia.org")
+        params = F.when(F.lit(keep_params) | p["params"].rlike(r"^\?(lang|v)="), p["params"]).otherwise("")
+        anchor = F.when(p["anchor"].startswith("#page="), p["anchor"]).otherwise("")
+        return F.concat(p["protocol"], F.lit("://"), domain, F.regexp_replace(p["page"], "/+$", ""), params, anchor)
+
+    def clean(inner: Column) -> Column:
+        built = _let(split_url(inner), build)
+        return F.when(inner.rlike(URL), F.when(F.contains(inner, F.lit("/#/")), inner).otherwise(built))
+
+    out = _let(F.regexp_replace(unwrap_archive(F.trim(url)), "/+$", ""), clean)
+    return F.when(~contains_any(url, ignored), out)
 
 
 def domain_of(url: Column) -> Column:

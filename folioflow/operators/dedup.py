@@ -154,8 +154,8 @@ def drop_near_copies(pages: DataFrame, key: str, text: str = "parsed", url: str
         (-F.col("place")).alias("order"),
     )
     group = components(edges)
-    members = group.join(named.select("place", key, rank.alias("rank")), group["node"] == named["place"]).select("root", "place", key, "rank")
-    tied = edges.join(group, edges["a"] == group["node"]).select("root", "a", "b")
+    members = named.select("place", key, rank.alias("rank")).join(group.toDF("place", "top"), "place")
+    tied = edges.join(group.toDF("a", "root"), "a").select("root", "a", "b")
 
     def scan(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         ranks = {int(r.place): tuple(r.rank.values()) if isinstance(r.rank, dict) else tuple(r.rank) for r in right.itertuples()}
@@ -163,7 +163,7 @@ def drop_near_copies(pages: DataFrame, key: str, text: str = "parsed", url: str
         return right[right["place"].isin(gone)][[key]]
 
     kind = pages.schema[key].dataType.simpleString()
-    gone = tied.groupBy("root").cogroup(members.groupBy("root")).applyInPandas(scan, f"{key} {kind}")
+    gone = tied.groupBy("root").cogroup(members.groupBy("top")).applyInPandas(scan, f"{key} {kind}")
     return pages.join(gone, key, "left_anti")
 
 
