@@ -92,7 +92,7 @@ def _shared_docs(rows: DataFrame, parts: int, similarity: float) -> tuple[DataFr
                 sizes = np.bincount(owners, minlength=len(ids)).astype(np.int64)
                 order = np.argsort(grams, kind="stable")
                 grams, owners = grams[order], owners[order].astype(np.uint32)
-                chunk = int(ids[0]) ^ int(np.bitwise_xor.reduce(ids * np.arange(1, 2 * len(ids), 2)))
+                chunk = int(np.uint64(xxhash.xxh3_64_intdigest(ids.tobytes())).astype(np.int64))
                 part = _part(grams, parts)
                 edges = np.searchsorted(part, np.arange(parts + 1))
                 found = [p for p in range(parts) if edges[p] < edges[p + 1]]

@@ -42,7 +42,8 @@ def test_repeats_equal_brute_force(spark, corpus):
     got = {}
     for r in substrings.repeats(spark.createDataFrame(rows, SCHEMA)).collect():
         got.setdefault((r["doc_id"], r["copy"]), set()).update(range(r["start"], r["stop"]))
-        assert r["longest"] in (50, 100, 200) and r["stop"] - r["start"] >= r["longest"]
+        # A first occurrence may run on into what is itself a copy; a copy holds copies only.
+        assert r["longest"] in (50, 100, 200) and (not r["copy"] or r["stop"] - r["start"] >= r["longest"])
     assert got == naive_repeats(rows)
 
 
