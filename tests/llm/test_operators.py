@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import duckdb
 import pytest
@@ -68,6 +69,34 @@ def test_licenses_of_whole_sequences(spark):
     assert got == {1: "MIT", 2: "MIT Proprietary", 3: "NONE", 4: "UNKNOWN"}
 
 
+NOTICES = {
+    "MIT": ['Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:', "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'],
+    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'],
+    "Apache-2.0": ['Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at', "http://www.apache.org/licenses/LICENSE-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+}
+NOTICES["BSD-3-Clause"] = ["All rights reserved.", *NOTICES["BSD-2-Clause"][:3], "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", NOTICES["BSD-2-Clause"][3]]
+for family, name, subject, version, a, b in (("GPL-3.0", "", "program", "3", ":", ","), ("GPL-2.0", "", "program", "2", ";", ";"), ("LGPL-3.0", "Lesser ", "program", "3", ":", ","), ("LGPL-2.1", "Lesser ", "library", "2.1", ";", ";"), ("AGPL-3.0", "Affero ", "program", "3", ":", ",")):
+    NOTICES[f"{family}-or-later"] = [f"This {subject} is free software{a} you can redistribute it and/or modify it under the terms of the GNU {name}General Public License as published by the Free Software Foundation{b} either version {version} of the License, or (at your option) any later version.", f"This {subject} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU {name}General Public License for more details.", f"You should have received a copy of the GNU {name}General Public License along with this {subject}{'.  If not, see <https://www.gnu.org/licenses/>.' if version == '3' else '; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA'}"]
+
+
+def test_licenses_of_published_notices_wrapped_or_not(spark):
+    heading, code = "Copyright (c) 2020 A. Person\n", "\n\nint main() { return 0; }"
+    rows = []
+    for name, paragraphs in NOTICES.items():
+        wrapped = "\n\n".join(textwrap.fill(p, 66) for p in paragraphs)
+        texts = ["\n\n".join(paragraphs), " ".join(paragraphs), "\n".join(paragraphs), wrapped, textwrap.indent(wrapped, "   "), wrapped.replace("\n", "\r\n"), textwrap.indent(wrapped, " * ", lambda _: True)]
+        rows += [(f"{name} {i}", heading + t + code if i != 6 else f"/*\n{t}\n */{code}") for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {k: k.split()[0] for k, _ in rows}
+
+
+def test_license_words_across_a_break_or_within_a_line_are_no_sentence(spark):
+    rows = [(1, "Not released under the MIT License."), (2, "Released under\n\nthe MIT License."), (3, "Released under. The MIT License"), (4, "A heading\nReleased under the\nMIT License\nmore words")]
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "NONE", 2: "NONE", 3: "NONE", 4: "MIT"}
+
+
 def test_main_text_leaves_navigation_out():
     links = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(30))
     body = "".join(f"<p>{'A sentence of the article that says much. ' * 8}</p>" for _ in range(5))
