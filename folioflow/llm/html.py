@@ -32,9 +32,12 @@ _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)(?:[^>\"']*+(?:\"[^\"]*\"|'[^']*')?+)*+>|<(/?)([a-zA-Z][^\s/>]*)[^>]*>",
     re.S,
 )
+_TITLE_END = re.compile(r"</title\b[^>]*>", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea noscript template iframe".split())
-_SKIPPED = frozenset("script style textarea noscript template iframe head".split())
+_SKIPPED = frozenset("script style textarea noscript template iframe head title".split())
+#: What can stand in a head; anything else, and text, ends it.
+_IN_HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
 _BLOCK = frozenset("address article aside blockquote body center details dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
 #: Opening the tag closes an open tag of the set, unless one of the bounds is nearer.
 _CLOSES = {
@@ -59,7 +62,7 @@ class Page:
             if m.start() < at:
                 continue
             if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
+                self._text(stack, source[at : m.start()])
             at = m.end()
             name = (m[2] or m[4] or "").lower()
             if not name:
@@ -69,19 +72,38 @@ class Page:
                     while self.tag[stack.pop()] != name:
                         pass
                 continue
+            if name == "body" and any(self.tag[i] == "body" for i in stack):
+                continue
             self._close_before(name, stack)
+            if name not in _IN_HEAD:
+                self._end_head(name, stack)
             node = len(self.tag)
             self.tag.append(name)
             self.parent.append(stack[-1])
             if name in _RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else len(source)
+            elif name == "title" and not m[0].endswith("/>") and (end := _TITLE_END.search(source, at)):
+                at = end.end()
             elif name not in _VOID and not m[0].endswith("/>"):
                 stack.append(node)
         if at < len(source):
-            self._text(stack[-1], source[at:])
-
-    def _text(self, node: int, raw: str) -> None:
+            self._text(stack, source[at:])
+
+    def _end_head(self, name: str, stack: list[int]) -> None:
+        """End an open head; what isn't a body itself begins one."""
+        depth = next((d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == "head"), 0)
+        if depth:
+            del stack[depth:]
+            if name != "body":
+                self.tag.append("body")
+                self.parent.append(stack[-1])
+                stack.append(len(self.tag) - 1)
+
+    def _text(self, stack: list[int], raw: str) -> None:
+        if self.tag[stack[-1]] == "head" and raw.strip():
+            self._end_head("", stack)
+        node = stack[-1]
         text = " ".join(html.unescape(raw).split()) if "&" in raw else " ".join(raw.split())
         if text:
             self.texts.append((len(self.tag) - 1, node, text))
@@ -126,7 +148,7 @@ class Page:
             c, t, lc, lt = chars[i], tags[i], linked[i], links[i]
             if c and not skipped[i]:
                 base = math.log(c / ((c - lc) or 1) * lc + ratio * c + math.e)
-                self.density[i] = c / t * (math.log(c / (lc or 1) * (t / (lt or 1))) / math.log(base) if base > 1 else 0.0) if c else 0.0
+                self.density[i] = c / t * (math.log(c / (lc or 1) * (t / (lt or 1))) / (math.log(base) or 1))
         self.total = [0.0] * n
         for i in range(1, n):
             self.total[self.parent[i]] += self.density[i]
@@ -177,7 +199,8 @@ def extract(df: DataFrame, key: str = "page_id", source: str = "html") -> DataFr
     """One row per input row: key and ``text``.
 
     A null page has a null text; an empty page, or one without text, an empty
-    one. A page without a body is taken whole. Unclosed and stray tags are
+    one. A page without a body is taken whole; a head left open ends where
+    something comes that can't stand in it. Unclosed and stray tags are
     repaired as browsers do for the common cases. Ties go to the first node.
     Whole pages are read; repeated rows give equal texts; other columns are
     not read.

@@ -105,6 +105,32 @@ def test_main_text_leaves_navigation_out():
     assert html.main_text(None) is None and html.main_text("") == "" and html.main_text("<p>unclosed <b>tags") is not None
 
 
+@pytest.mark.parametrize(
+    "start",
+    [
+        "<html><head><title>T</title></head><body>",
+        "<html><head><title>T</title><body>",
+        "<html><head><title>T</title>",
+        "<html><head><title>The <b> tag</title><meta charset=utf-8><style>p{}</style>",
+        "<head><title>T</title><body>",
+        "<html><title>T</title><body>",
+        "<title>T</title><body>",
+        "<title>T</title>",
+        "<html><head><body>",
+        "<head><title>T</title><p>First words.</p><body class=x>",
+        "<!doctype html><html><head><title>T</title>First words.</head><body>",
+        "",
+    ],
+)
+def test_main_text_with_optional_tags_left_out(start):
+    links = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(30))
+    body = "".join(f"<p>{'A sentence of the article that says much. ' * 8}</p>" for _ in range(5))
+    text = html.main_text(f"{start}<ul>{links}</ul><div><article>{body}</article></div>")
+    assert text.count("article that says") == 40 and "Link number" not in text and "T\n" not in text and "The " not in text
+    plain = html.main_text(f"{start}<p>Plain words that say more than the first.</p>")
+    assert "Plain words" in plain and ("First words." in plain) == ("First words." in start) and "T\n" not in plain
+
+
 def naive_hits(index, tokens, threshold):
     """Scores of all units for each passage of two unit lengths, without any index."""
     found = {}
