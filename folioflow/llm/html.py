@@ -11,9 +11,9 @@ children's densities. The node of the largest sum and the path from it to the
 body give a threshold: the least density on the path. From the body down,
 each node whose density reaches the threshold marks the node of the largest
 density sum in its subtree; the text of marked subtrees is the main text. A
-subtree without child densities has no sum to be the largest, so a lone block
-beside the content, such as a notice, isn't marked; a body without any
-density sum is taken whole.
+node without child densities marks itself, and a node's own direct text counts
+as one more child, of one tag: the threshold alone decides, so a dense notice
+beside the content comes in too. A body without any density sum is taken whole.
 """
 
 from __future__ import annotations
@@ -133,7 +133,7 @@ class Page:
         for _, node, text in self.texts:
             chars[node] += len(text)
             linked[node] += len(text) * inside[node]
-        self.end, links = list(range(1, n + 1)), [int(x) for x in inside]
+        self.end, links, own = list(range(1, n + 1)), [int(x) for x in inside], chars[:]
         for i in range(n - 1, 0, -1):
             p = self.parent[i]
             self.end[p] = max(self.end[p], self.end[i])
@@ -143,12 +143,10 @@ class Page:
                 linked[p] += linked[i]
                 links[p] += links[i]
         ratio = linked[self.body] / (chars[self.body] or 1)
-        self.density = [0.0] * n
-        for i in range(n):
-            c, t, lc, lt = chars[i], tags[i], linked[i], links[i]
-            if c and not skipped[i]:
-                base = math.log(c / ((c - lc) or 1) * lc + ratio * c + math.e)
-                self.density[i] = c / t * (math.log(c / (lc or 1) * (t / (lt or 1))) / (math.log(base) or 1))
+        density = lambda c, t, lc, lt: c / t * (math.log(c / (lc or 1) * (t / (lt or 1))) / (math.log(math.log(c / ((c - lc) or 1) * lc + ratio * c + math.e)) or 1))
+        self.density = [density(chars[i], tags[i], linked[i], links[i]) if chars[i] and not skipped[i] else 0.0 for i in range(n)]
+        # A node's own direct text, as a child of one tag.
+        self.own = [density(c, 1, c * inside[i], int(inside[i])) if c else 0.0 for i, c in enumerate(own)]
         self.total = [0.0] * n
         for i in range(1, n):
             self.total[self.parent[i]] += self.density[i]
@@ -165,18 +163,17 @@ class Page:
         while i != self.body:
             i = self.parent[i]
             threshold = min(threshold, self.density[i])
-        marked, todo = [False] * len(self.tag), [self.body]
+        marked, direct, todo = [False] * len(self.tag), [False] * len(self.tag), [self.body]
         while todo:
             node = todo.pop()
             if marked[node] or self.density[node] < threshold or not self.density[node]:
                 continue
             found = self.best(node)
-            if not self.total[found] and node != self.body:
-                continue
+            direct[node] = self.own[node] >= threshold
             for k in range(found, self.end[found]):
                 marked[k] = True
             todo += [k for k in range(node + 1, self.end[node]) if self.parent[k] == node]
-        return self._join([x for x in self.texts if marked[x[1]]])
+        return self._join([x for x in self.texts if marked[x[1]] or direct[x[1]]])
 
     def _join(self, kept: list[tuple[int, int, str]]) -> str:
         out, last = [], None

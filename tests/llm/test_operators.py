@@ -131,6 +131,15 @@ def test_main_text_with_optional_tags_left_out(start):
     assert "Plain words" in plain and ("First words." in plain) == ("First words." in start) and "T\n" not in plain
 
 
+def test_dense_blocks_beside_the_largest_come_in():
+    say = lambda w: f"{w} sentence with many words of its own. " * 9
+    parts = "".join(f"<p>{say('Inner')}</p>" for _ in range(3))
+    links = "".join(f'<li><a href="/{i}">Link number {i}</a></li>' for i in range(30))
+    for lone in (f"<p>{say('Lone')}</p>", f"<pre>{say('Lone')}</pre>", f"<table><td>{say('Lone')}</table>", say("Lone")):
+        text = html.main_text(f"<body><ul>{links}</ul>{lone}<div>{parts}</div></body>")
+        assert text.count("Lone sentence") == 9 and text.count("Inner sentence") == 27 and "Link number" not in text
+
+
 def naive_hits(index, tokens, threshold):
     """Scores of all units for each passage of two unit lengths, without any index."""
     found = {}
