@@ -16,7 +16,8 @@ trigrams with the item's question and with its answer.
 
 The index is broadcast; documents are read once, in one narrow stage without
 a shuffle. A benchmark of more than ``SHARD_CHARS`` is cut into shards, each
-an index of its own, and the documents are read once for each.
+an index of its own with the statistics of the whole benchmark, and the
+documents are read once for each.
 """
 
 from __future__ import annotations
@@ -61,30 +62,55 @@ def grams(tokens: list[str]) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + _GRAM]) for i in range(max(len(tokens) - _GRAM + 1, 1))} if tokens else set()
 
 
+def cut(words: list[str]) -> list[list[str]]:
+    """The units of an item."""
+    return [words[start : start + UNIT] for start in range(0, len(words), UNIT)]
+
+
+class Statistics:
+    """What the impacts need to know of all units: their number and tokens, and how many hold each term."""
+
+    def __init__(self) -> None:
+        self.held: Counter = Counter()
+        self.units = self.tokens = 0
+
+    def add(self, texts: list[str]) -> Statistics:
+        for text in texts:
+            for unit in cut(TOKEN.findall(text.lower())):
+                self.held.update(set(unit))
+                self.units += 1
+                self.tokens += len(unit)
+        return self
+
+
 class Index:
-    """Inverted lists of the units with their maxima."""
+    """Inverted lists of the units with their maxima.
+
+    ``whole`` has the statistics of the benchmark of which the items are a
+    part; without it, the items are all.
+    """
 
-    def __init__(self, items: list[tuple[object, str]]) -> None:
+    def __init__(self, items: list[tuple[object, str]], whole: Statistics | None = None) -> None:
         self.items = [k for k, _ in items]
         tokens = [TOKEN.findall(t.lower()) for _, t in items]
         self.sizes = [len(t) for t in tokens]
         self.sides = [tuple(grams(side) for side in question_and_answer(t)) for _, t in items]
         self.owner, units = [], []
         for i, words in enumerate(tokens):
-            for start in range(0, len(words), UNIT):
+            for unit in cut(words):
                 self.owner.append(i)
-                units.append(words[start : start + UNIT])
-        held = Counter(w for u in units for w in set(u))
-        mean = sum(map(len, units)) / (len(units) or 1)
+                units.append(unit)
+        whole = whole or Statistics().add([t for _, t in items])
+        held, n_units, mean = whole.held, whole.units, whole.tokens / (whole.units or 1)
         lists: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for u, words in enumerate(units):
             own = {}
             for w, tf in Counter(words).items():
-                idf = np.log1p((len(units) - held[w] + 0.5) / (held[w] + 0.5))
+                idf = np.log1p((n_units - held[w] + 0.5) / (held[w] + 0.5))
                 own[w] = float(idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / mean)))
-            whole = sum(own.values())
+            full = sum(own.values())
             for w, x in own.items():
-                lists[w].append((u, x / whole))
+                lists[w].append((u, x / full))
         self.terms = {w: i for i, w in enumerate(lists)}
         self.docs = [[u for u, _ in x] for x in lists.values()]
         self.impacts = [[x for _, x in y] for y in lists.values()]
@@ -199,15 +225,16 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", shard_chars: int = SHARD_CHARS) -> list[Index]:
-    """The index of each shard of the benchmark; items without a token take no part."""
+    """The index of each shard of the benchmark, with the statistics of all; items without a token take no part."""
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-int(size) // shard_chars))
-    out = []
+    shards, whole = [], Statistics()
     for shard in range(n):
         found = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == shard).collect()
-        out.append(Index(sorted(((r["item"], r["text"]) for r in found if TOKEN.search(r["text"])), key=str)))
-    return out
+        shards.append(sorted(((r["item"], r["text"]) for r in found if TOKEN.search(r["text"])), key=str))
+        whole.add([t for _, t in shards[-1]])
+    return [Index(items, whole) for items in shards]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:

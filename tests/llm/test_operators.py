@@ -167,6 +167,21 @@ def test_block_max_search_equals_brute_force():
             assert got == naive_hits(index, tokens, threshold)
 
 
+def test_shards_of_a_benchmark_score_as_the_whole(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(vocabulary[: 10 + i]) for _ in range(rng.randrange(5, 150)))) for i in range(40)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(200)) for _ in range(20)] + [t[: len(t) * 2 // 3] for _, t in items]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def hits(shard_chars):
+        found = decontaminate.indexes(bench, shard_chars=shard_chars)
+        return len(found), {(n, x.items[i], *(round(v, 6) for v in values)) for x in found for n, row in enumerate(x.hits(texts, 0.4, 0, 0)) for i, *values in row}
+
+    (one, want), (many, got) = hits(10**9), hits(3_000)
+    assert one == 1 and many > 3 and want and got == want
+
+
 def test_planted_items_are_found_and_clean_texts_stay(spark):
     rng = random.Random(5)
     say = lambda n: " ".join(f"x{rng.randrange(4_000)}" for _ in range(n))
