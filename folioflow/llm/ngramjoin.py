@@ -201,6 +201,15 @@ def _sets(rows: DataFrame, good: DataFrame, kind: str) -> DataFrame:
     return found.select(F.monotonically_increasing_id().alias("sid"), "n", "grams", "members")
 
 
+def _ranks(grams: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """How frequent trigrams are; 0 for others. The known ones come without their last 16 bits."""
+    if not len(known):
+        return np.zeros(len(grams), np.int64)
+    top = grams & ~np.uint64(0xFFFF)
+    at = np.minimum(np.searchsorted(known, top), len(known) - 1)
+    return np.where(known[at] == top, times[at], 0)
+
+
 def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarity: float) -> DataFrame:
     """Pairs of sets whose prefixes share enough entries."""
     common = np.array(sorted(frequent), np.uint64)
@@ -213,11 +222,7 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
                 size = np.asarray(batch.column(1)).astype(np.int64)
                 flat = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64)
                 owner = np.repeat(np.arange(len(size)), size)
-                rank = np.zeros(len(flat), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
-                    rank = np.where(known[at] == flat, times[at], 0)
-                order = np.lexsort((flat, rank, owner))
+                order = np.lexsort((flat, _ranks(flat, known, times), owner))
                 flat, owner = flat[order], owner[order]
                 first = np.cumsum(size) - size
                 place = np.arange(len(flat)) - first[owner]

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from folioflow.llm import ngramjoin, substrings
@@ -113,6 +114,14 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_frequent_trigrams_rank_by_their_whole_hashes():
+    whole = np.array([0x1234_5678_9ABC_DEF0, 0x7, 0xFFFF_FFFF_FFFF_FFFF, 0x1234_5678_9ABD_0000], np.uint64)
+    packed = ngramjoin._pack(np.sort(whole[:3]).tobytes() + np.zeros(3, np.uint16).tobytes())
+    known, _ = ngramjoin._unpack(packed, 1)
+    assert ngramjoin._ranks(whole, known, np.array([5, 6, 9])).tolist() == [6, 5, 9, 0]
+    assert ngramjoin._ranks(whole, known[:0], np.zeros(0, np.int64)).tolist() == [0] * 4
+
+
 def test_keep_one_keeps_the_first_of_each_group(spark):
     rng = random.Random(3)
     a, b = words(rng, 40), words(rng, 40)
