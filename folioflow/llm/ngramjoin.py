@@ -37,7 +37,7 @@ from folioflow.llm.textkit import SQL_WORDS, Rolling, TokenHashes, checkpointed,
 
 GRAM = 3
 SIMILARITY = 0.5
-#: Entries that the prefixes of similar sets share, as a part of the smaller set.
+#: Entries that the prefixes of similar sets share, as a part of the smaller set; the similarity where that is less.
 SHARED = 0.15
 #: Frequent trigrams whose place in the order is by frequency. Any number gives the same pairs.
 FREQUENT = 200_000
@@ -226,7 +226,7 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
                 flat, owner = flat[order], owner[order]
                 first = np.cumsum(size) - size
                 place = np.arange(len(flat)) - first[owner]
-                long = np.minimum(size - _least(size, similarity) + _least(size, SHARED), size)
+                long = np.minimum(size - _least(size, similarity) + _least(size, min(SHARED, similarity)), size)
                 use = place < long[owner]
                 grams, owner, place = flat[use], owner[use], place[use]
                 sid = np.asarray(batch.column(0)).astype(np.int64)
@@ -332,7 +332,7 @@ def _candidates(sets: DataFrame, frequent: dict[int, int], parts: int, similarit
         order = np.lexsort((b, a))
         a, b, least, times = a[order], b[order], least[order], times[order].astype(np.int64)
         at = np.nonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[0]
-        use = at[np.add.reduceat(times, at) >= _least(least[at], SHARED)]
+        use = at[np.add.reduceat(times, at) >= _least(least[at], min(SHARED, similarity))]
         return pa.table([pa.array(a[use]), pa.array(b[use])], names=["a", "b"])
 
     listed = sets.select("sid", "n", "grams").mapInArrow(prefixes, "part int, data binary").groupBy("part").applyInArrow(pair, "part int, data binary")

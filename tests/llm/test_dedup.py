@@ -114,6 +114,14 @@ def test_similar_pairs_equal_brute_force(spark):
     assert got == want
 
 
+def test_pairs_below_the_shared_part_are_found(spark):
+    common = [f"c{i}" for i in range(12)]
+    rows = [(k, " ".join([f"{k}w{i}" for i in range(45)] + common + [f"{k}v{i}" for i in range(45)]), "x", "y") for k in range(4)]
+    assert all(len(grams(t)) == 100 for _, t, *_ in rows)
+    got = {tuple(r["doc_ids"]): r["jaccard"] for r in ngramjoin.similar(spark.createDataFrame(rows, SCHEMA), similarity=0.05).collect()}
+    assert got == {(a, b): round(10 / 190, 6) for a in range(4) for b in range(a + 1, 4)}
+
+
 def test_frequent_trigrams_rank_by_their_whole_hashes():
     whole = np.array([0x1234_5678_9ABC_DEF0, 0x7, 0xFFFF_FFFF_FFFF_FFFF, 0x1234_5678_9ABD_0000], np.uint64)
     packed = ngramjoin._pack(np.sort(whole[:3]).tobytes() + np.zeros(3, np.uint16).tobytes())
