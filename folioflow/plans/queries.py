@@ -75,7 +75,7 @@ def url_discard(spark, sf_dir):
 
 @_query("SELECT DISTINCT page_id, link FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href=\"([^\"#]+)\"', 1)) AS link FROM pages) WHERE NOT ends_with(link, '.pdf') AND NOT regexp_matches(link, '^(javascript|mailto|tel):')")
 def page_links(spark, sf_dir):
-    """The distinct links of every page."""
+    """The distinct links of every page in double-quoted href, as written; a part of F9 and H2."""
     links = F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"#]+)"'), F.lit(1))
     return read(spark, sf_dir, "pages").select("page_id", F.explode(links).alias("link")).where(~F.col("link").endswith(".pdf") & ~F.col("link").rlike("^(javascript|mailto|tel):")).distinct()
 
@@ -256,7 +256,7 @@ def text_normalize(spark, sf_dir):
 
 @_query(f"SELECT doc_id, {X.sql_guess_language('text')} AS guess FROM documents")
 def language_guess(spark, sf_dir):
-    """Language by frequent words."""
+    """Language by frequent words."""
     return read(spark, sf_dir, "documents").select("doc_id", X.guess_language(F.col("text")).alias("guess"))
 
 
@@ -297,7 +297,7 @@ def stem_best(spark, sf_dir):
 
 @_query(f"WITH d AS (SELECT doc_id, {X.SQL_TOKENS.format('text')} AS w FROM documents), b AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS p FROM d WHERE len(w) > 1), c AS (SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM b GROUP BY 1, 2 HAVING count(*) >= 10), u AS (SELECT token, count(*) AS n FROM (SELECT unnest(w) AS token FROM d) GROUP BY 1), t AS (SELECT sum(n) AS total FROM u) SELECT c.a, c.b, c.n, round(ln(c.n * total / (x.n * y.n)) / -ln(c.n / total), 6) AS npmi FROM c JOIN u x ON x.token = c.a JOIN u y ON y.token = c.b CROSS JOIN t WHERE ln(c.n * total / (x.n * y.n)) / -ln(c.n / total) > 0.3")
 def ngram_npmi(spark, sf_dir):
-    """Frequent bigrams by normalised pointwise mutual information."""
+    """Frequent bigrams by normalised pointwise mutual information, in one pass at 0.3; a part of T21."""
     w = read(spark, sf_dir, "documents").select(X.tokens(F.col("text")).alias("w"))
     pairs = F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))
     two = w.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n")).where("n >= 10")
@@ -330,7 +330,7 @@ def bm25_top(spark, sf_dir):
 
 @_query(f"WITH {_BM25}, r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id DESC) - 1 AS r1 FROM s), m AS (SELECT item_id, doc_id, count(*) AS m FROM q JOIN p USING (token) GROUP BY ALL), r2 AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY m DESC, doc_id DESC) - 1 AS r2 FROM m) SELECT item_id, doc_id, round(1 / (60 + r1) + 1 / (60 + r2), 9) AS score FROM r JOIN r2 USING (item_id, doc_id)")
 def rank_fusion(spark, sf_dir):
-    """Fusion of the BM25 order with that by matched terms."""
+    """Fusion of the BM25 order with that by matched terms, not by cosine, and not divided by the largest; a part of R7."""
     docs, bench = read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")
     terms = bench.select("item_id", F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
     matched = retrieval.postings(docs).join(terms, "token").groupBy("item_id", "doc_id").agg(F.count("*").alias("m"))
@@ -353,7 +353,7 @@ def cluster_centroids(spark, sf_dir):
 
 @_query(f"WITH {_CENTRE}, c AS (SELECT label, list(value ORDER BY dim) AS v FROM cen GROUP BY label), d AS (SELECT vec_id, c.label, {_DOT.format('u', 'v')} AS score FROM uv CROSS JOIN c) SELECT vec_id, label AS nearest, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 6) DESC, label) AS k FROM d) WHERE k = 1")
 def nearest_cluster(spark, sf_dir):
-    """The nearest centroid of every vector."""
+    """The nearest centroid of every vector."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", retrieval.unit(F.col("embedding")).alias("u"))
     c = retrieval.centroids(read(spark, sf_dir, "embeddings")).groupBy("label").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("v")).select("label", F.transform("v", lambda x: x["value"]).alias("v"))
     # One centroid for each label: the broadcast side has as many rows as there are clusters.
