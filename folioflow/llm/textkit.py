@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioflow.operators import graph
+
 TOKEN = re.compile(r"[^\W_]+")
 SQL_WORDS = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 
@@ -127,6 +129,20 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a part at most, about; what a task holds at a time.
+PART_BYTES = 256_000_000
+
+
+def parts_of(df: DataFrame) -> int:
+    """Into how many parts to hash what comes from the rows: the session's partitions, more where these would be too large.
+
+    The size is what Spark estimates from the files; rows that come from
+    elsewhere have none.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df), -(-size // PART_BYTES) if size < 1 << 60 else 0)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage through files in the shared checkpoint folder.
 
@@ -143,17 +159,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def ready(df: DataFrame) -> None:
     """Use the cluster's checkpoint folder; set one only where none is set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    graph.ready(df.sparkSession)
 
 
 def shared_folder(spark) -> str:
-    """The folder that the cluster names for what all executors share; a new local one only where none is named."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    """The folder that the cluster names for what all executors share.
+
+    A folder of this machine takes its place only where the session runs on
+    this machine alone; on a cluster, having none is an error.
+    """
+    return graph.shared_folder(spark)

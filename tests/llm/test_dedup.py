@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from folioflow.llm import ngramjoin, substrings
@@ -90,46 +91,93 @@ def grams(text):
     return frozenset(tuple(t[i : i + 3]) for i in range(max(len(t) - 2, 1))) if t else frozenset()
 
 
-def test_similar_pairs_equal_brute_force(spark):
-    rng = random.Random(2)
-    base = [words(rng, rng.randrange(3, 60)).split() for _ in range(12)]
+def naive_classes(rows, similarity=ngramjoin.SIMILARITY):
+    """(key, text) -> least key of its class and number of links, by comparing all documents."""
+    docs = sorted({(k, t) for k, t, *_ in rows if t and grams(t)}, key=str)
+    sets = [grams(t) for _, t in docs]
+    links = [[j for j in range(len(docs)) if j != i and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity - 1e-12] for i in range(len(docs))]
+    out = []
+    for i, (k, _) in enumerate(docs):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in links[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        if links[i]:
+            out.append((k, min((docs[j][0] for j in seen if docs[j][0] is not None), default=None), len(links[i])))
+    return sorted(out, key=str)
+
+
+def found_classes(df, **how):
+    return sorted(((r["doc_id"], r["class_id"], r["links"]) for r in ngramjoin.similar(df, **how).collect()), key=str)
+
+
+def near_copies(seed, n=120, bases=12):
+    rng = random.Random(seed)
+    base = [words(rng, rng.randrange(3, 60)).split() for _ in range(bases)]
     rows = []
-    for i in range(120):
-        t = list(base[i % 12])
+    for i in range(n):
+        t = list(base[i % bases])
         for _ in range(rng.randrange(6)):
             t[rng.randrange(len(t))] = f"new{rng.randrange(50)}"
         rows.append((i, " ".join(t), "x", "y"))
-    rows += [(200, None, "x", "y"), (201, "", "x", "y"), (202, "!!", "x", "y"), (203, "one", "x", "y"), (204, "one", "x", "y"), (0, rows[0][1], "x", "y")]
-    sets = {k: grams(t) for k, t, *_ in rows if t and grams(t)}
-    want = {}
-    for a in sets:
-        for b in sets:
-            if a < b and (j := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= ngramjoin.SIMILARITY - 1e-12:
-                want[a, b] = round(j, 6)
-    got = {}
-    for r in ngramjoin.similar(spark.createDataFrame(rows, SCHEMA)).collect():
-        left, right = r["doc_ids"][: r["n_left"]], r["doc_ids"][r["n_left"] :]
-        both = [(a, b) for a in left for b in right] if right else [(a, b) for a in left for b in left if a < b]
-        got.update({(min(p), max(p)): r["jaccard"] for p in both})
-    assert got == want
+    return rows
+
+
+def test_classes_and_links_equal_brute_force(spark):
+    rows = near_copies(2)
+    rows += [(200, None, "x", "y"), (201, "", "x", "y"), (202, "!!", "x", "y"), (203, "one", "x", "y"), (204, "one", "x", "y"), (0, rows[0][1], "x", "y"), (0, rows[1][1], "x", "y"), (None, rows[2][1], "x", "y"), (None, "two three four", "x", "y"), (None, "two, three four!", "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found_classes(df) == naive_classes(rows)
+    assert found_classes(df.limit(0)) == []
 
 
-def test_pairs_below_the_shared_part_are_found(spark):
+@pytest.mark.parametrize("limits", [{"UNIT_GRAMS": 60, "BLOCK": 2, "_HELD": 50}, {"ALIKE": 99, "BLOCK": 3}, {"ALIKE": 0, "FREQUENT": 0}], ids=str)
+def test_clusters_units_and_blocks_change_nothing(spark, monkeypatch, limits):
+    rows = near_copies(5, 90, 3)
+    for name, value in limits.items():
+        monkeypatch.setattr(ngramjoin, name, value)
+    assert found_classes(spark.createDataFrame(rows, SCHEMA)) == naive_classes(rows)
+
+
+def test_links_below_the_shared_part_are_found(spark):
     common = [f"c{i}" for i in range(12)]
     rows = [(k, " ".join([f"{k}w{i}" for i in range(45)] + common + [f"{k}v{i}" for i in range(45)]), "x", "y") for k in range(4)]
     assert all(len(grams(t)) == 100 for _, t, *_ in rows)
-    got = {tuple(r["doc_ids"]): r["jaccard"] for r in ngramjoin.similar(spark.createDataFrame(rows, SCHEMA), similarity=0.05).collect()}
-    assert got == {(a, b): round(10 / 190, 6) for a in range(4) for b in range(a + 1, 4)}
+    assert found_classes(spark.createDataFrame(rows, SCHEMA), similarity=0.05) == [(k, 0, 3) for k in range(4)]
+
+
+def test_overlaps_derived_from_the_set_before_equal_counted_ones(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(1, 1 << 60, 80).astype(np.uint64)
+    blobs = [np.unique(np.concatenate([rng.choice(base, 60, replace=False), rng.integers(1, 1 << 60, 9).astype(np.uint64)])) for _ in range(30)]
+    table = pa.table({"hash": range(30), "w": [1] * 30, "grams": [b.tobytes() for b in blobs]})
+    left, right = ngramjoin.Sets(pa.concat_tables([table, table.slice(3, 4)])), ngramjoin.Sets(table.slice(0, 11))
+    assert sorted(left.name) == list(range(30))
+    for held in (1, 1_000_000):
+        monkeypatch.setattr(ngramjoin, "_HELD", held)
+        for a, b in ((left, right), (left, left)):
+            for i, row in ngramjoin.overlaps(a, b):
+                assert [int(x) for j, x in enumerate(row) if a is not b or i != j] == [len(np.intersect1d(blobs[a.name[i]], blobs[b.name[j]])) for j in range(len(b.name)) if a is not b or i != j]
 
 
 def test_frequent_trigrams_rank_by_their_whole_hashes():
     whole = np.array([0x1234_5678_9ABC_DEF0, 0x7, 0xFFFF_FFFF_FFFF_FFFF, 0x1234_5678_9ABD_0000], np.uint64)
-    packed = ngramjoin._pack(np.sort(whole[:3]).tobytes() + np.zeros(3, np.uint16).tobytes())
-    known, _ = ngramjoin._unpack(packed, 1)
+    known, owners = ngramjoin._unpack(ngramjoin._pack(np.sort(whole[:3]), np.arange(3, dtype=np.uint16)), np.uint16)
+    assert owners.tolist() == [0, 1, 2]
     assert ngramjoin._ranks(whole, known, np.array([5, 6, 9])).tolist() == [6, 5, 9, 0]
     assert ngramjoin._ranks(whole, known[:0], np.zeros(0, np.int64)).tolist() == [0] * 4
 
 
+def test_filter_lets_all_its_ids_through(spark, monkeypatch):
+    ids = spark.range(5_000).selectExpr("id * 977 - 99999 AS rid")
+    mine, others = np.arange(5_000) * 977 - 99999, np.arange(5_000) * 977 - 99998
+    assert ngramjoin._sieve(ids, 5_000)(mine).all() and ngramjoin._sieve(ids, 5_000)(others).mean() < 0.1
+    monkeypatch.setattr(ngramjoin, "FILTER_BITS", 1024)
+    assert ngramjoin._sieve(ids, 5_000)(mine).all() and not ngramjoin._sieve(ids.limit(0), 0)(mine).any()
+
+
 def test_keep_one_keeps_the_first_of_each_group(spark):
     rng = random.Random(3)
     a, b = words(rng, 40), words(rng, 40)
