@@ -169,7 +169,7 @@ def _shared_docs(rows: DataFrame, parts: int, similarity: float) -> tuple[DataFr
             edge = np.argsort(w, kind="stable")
             o, w = o[edge], w[edge]
             at = _starts(w)
-            for lo, hi in zip(at, np.append(at[1:], len(w)), strict=True):
+            for lo, hi in zip(at, [*at[1:], len(w)], strict=False):
                 doc, n = np.unique(o[lo:hi], return_counts=True)
                 r = rows[w[lo]]
                 out.append((r["chunk"], 0, r["docs"], doc.astype(np.uint32).tobytes() + n.astype(np.uint32).tobytes()))

@@ -131,6 +131,7 @@ def test_classes_and_links_equal_brute_force(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert found_classes(df) == naive_classes(rows)
     assert found_classes(df.limit(0)) == []
+    assert found_classes(spark.createDataFrame([(i, words(random.Random(i), 30), "x", "y") for i in range(40)], SCHEMA)) == []
 
 
 @pytest.mark.parametrize("limits", [{"UNIT_GRAMS": 60, "BLOCK": 2, "_HELD": 50}, {"ALIKE": 99, "BLOCK": 3}, {"ALIKE": 0, "FREQUENT": 0}], ids=str)
