@@ -21,6 +21,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -57,6 +58,8 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.texts = ["#root"], [-1], []
+        # How many elements of each tag are open: a deep page is not searched in vain.
+        self.open: Counter = Counter()
         stack, at = [0], 0
         for m in _MARKUP.finditer(source):
             if m.start() < at:
@@ -68,11 +71,13 @@ class Page:
             if not name:
                 continue
             if m[1] or m[3]:
-                if name in map(self.tag.__getitem__, stack[1:]):
-                    while self.tag[stack.pop()] != name:
-                        pass
+                if self.open[name]:
+                    depth = len(stack) - 1
+                    while self.tag[stack[depth]] != name:
+                        depth -= 1
+                    self._shut(stack, depth)
                 continue
-            if name == "body" and any(self.tag[i] == "body" for i in stack):
+            if name == "body" and self.open["body"]:
                 continue
             self._close_before(name, stack)
             if name not in _IN_HEAD:
@@ -87,18 +92,24 @@ class Page:
                 at = end.end()
             elif name not in _VOID and not m[0].endswith("/>"):
                 stack.append(node)
+                self.open[name] += 1
         if at < len(source):
             self._text(stack, source[at:])
 
+    def _shut(self, stack: list[int], depth: int) -> None:
+        """Close the elements from a depth on."""
+        self.open.subtract(self.tag[i] for i in stack[depth:])
+        del stack[depth:]
+
     def _end_head(self, name: str, stack: list[int]) -> None:
         """End an open head; what isn't a body itself begins one."""
-        depth = next((d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == "head"), 0)
-        if depth:
-            del stack[depth:]
+        if self.open["head"]:
+            self._shut(stack, next(d for d in range(len(stack) - 1, 0, -1) if self.tag[stack[d]] == "head"))
             if name != "body":
                 self.tag.append("body")
                 self.parent.append(stack[-1])
                 stack.append(len(self.tag) - 1)
+                self.open["body"] += 1
 
     def _text(self, stack: list[int], raw: str) -> None:
         if self.tag[stack[-1]] == "head" and raw.strip():
@@ -112,10 +123,12 @@ class Page:
         shut, bounds = _CLOSES.get(name, (set(), set()))
         if name in _BLOCK and not shut:
             shut, bounds = {"p"}, _P_BOUNDS
+        if not any(self.open[x] for x in shut):
+            return
         for depth in range(len(stack) - 1, 0, -1):
             tag = self.tag[stack[depth]]
             if tag in shut:
-                del stack[depth:]
+                self._shut(stack, depth)
                 return
             if tag in bounds:
                 return
@@ -147,18 +160,21 @@ class Page:
         self.density = [density(chars[i], tags[i], linked[i], links[i]) if chars[i] and not skipped[i] else 0.0 for i in range(n)]
         # A node's own direct text, as a child of one tag.
         self.own = [density(c, 1, c * inside[i], int(inside[i])) if c else 0.0 for i, c in enumerate(own)]
-        self.total = [0.0] * n
+        self.total, self.children = [0.0] * n, [[] for _ in range(n)]
         for i in range(1, n):
             self.total[self.parent[i]] += self.density[i]
-
-    def best(self, node: int) -> int:
-        """The node of the largest density sum in a subtree, the first of equals."""
-        return max(range(node, self.end[node]), key=lambda i: (self.total[i], -i))
+            self.children[self.parent[i]].append(i)
+        #: The node of the largest density sum in each subtree, the first of equals.
+        self.best = list(range(n))
+        for i in range(n - 1, -1, -1):
+            for k in reversed(self.children[i]):
+                if self.total[self.best[k]] > self.total[self.best[i]] or (self.best[i] != i and self.total[self.best[k]] == self.total[self.best[i]]):
+                    self.best[i] = self.best[k]
 
     def main_text(self) -> str:
         """Text of the marked subtrees; blocks on lines of their own."""
         self.densities()
-        top = self.best(self.body)
+        top = self.best[self.body]
         threshold, i = self.density[top], top
         while i != self.body:
             i = self.parent[i]
@@ -168,19 +184,19 @@ class Page:
             node = todo.pop()
             if marked[node] or self.density[node] < threshold or not self.density[node]:
                 continue
-            found = self.best(node)
+            found = self.best[node]
             direct[node] = self.own[node] >= threshold
-            for k in range(found, self.end[found]):
-                marked[k] = True
-            todo += [k for k in range(node + 1, self.end[node]) if self.parent[k] == node]
+            if not marked[found]:
+                marked[found : self.end[found]] = [True] * (self.end[found] - found)
+            todo += self.children[node]
         return self._join([x for x in self.texts if marked[x[1]] or direct[x[1]]])
 
     def _join(self, kept: list[tuple[int, int, str]]) -> str:
-        out, last = [], None
+        out, last, within = [], None, [0] * len(self.tag)
+        for i in range(1, len(self.tag)):
+            within[i] = i if self.tag[i] in _BLOCK else within[self.parent[i]]
         for seen, node, text in kept:
-            block = node
-            while block and self.tag[block] not in _BLOCK:
-                block = self.parent[block]
+            block = within[node]
             broken = last is not None and (block != last[1] or any(self.tag[k] == "br" for k in range(last[0] + 1, seen + 1)))
             out.append(("\n" if broken else " ") + text if out else text)
             last = (seen, block)
