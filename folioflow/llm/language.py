@@ -14,6 +14,7 @@ the n-gram's code points, distances by the language's code.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,8 +54,25 @@ def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes[order], bounds
 
 
-def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted codes that occur in the texts, and their counts by text."""
+#: Counts of texts by n-grams that are held at a time, about; any number gives the same counts.
+CELLS = 8_000_000
+
+
+def gram_counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For some texts in a row at a time: the first, sorted codes that occur in them, and counts by text."""
+    todo = [(0, len(texts))]
+    while todo:
+        lo, hi = todo.pop()
+        found = _counts(texts[lo:hi])
+        if found is None:
+            middle = (lo + hi) // 2
+            todo += [(middle, hi), (lo, middle)]
+        else:
+            yield lo, *found
+
+
+def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray] | None:
+    """Codes and counts; ``None`` where they would be too many for several texts."""
     ids: dict[str, int] = {}
     rows, cols = [], []
     for i, t in enumerate(texts):
@@ -65,6 +83,8 @@ def gram_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), np.zeros((len(texts), 0), np.int64)
     flat, bounds = _grams(list(ids))
     codes, gram = np.unique(flat, return_inverse=True)
+    if len(texts) > 1 and len(texts) * len(codes) > CELLS:
+        return None
     pair, times = np.unique(np.concatenate(rows) * len(ids) + np.concatenate(cols), return_counts=True)
     row, word = pair // len(ids), pair % len(ids)
     sizes = np.diff(bounds)[word]
@@ -87,20 +107,21 @@ def ranked(counts: np.ndarray, most: int) -> np.ndarray:
 
 def distances(texts: list[str | None], profiles: dict[str, np.ndarray], most: int) -> np.ndarray:
     """Out-of-place distance of each text to each profile in order; -1 for a text without letters."""
-    codes, counts = gram_counts(texts)
     out = np.full((len(texts), len(profiles)), -1, np.int64)
-    if not len(codes):
-        return out
-    top = ranked(counts, most)
-    place = np.arange(top.shape[1])
-    for k, lang in enumerate(sorted(profiles)):
-        own = profiles[lang]
-        order = np.argsort(own)
-        at = np.minimum(np.searchsorted(own[order], codes), len(own) - 1)
-        rank = np.where(own[order][at] == codes, order[at], -1)[top]
-        far = np.where(rank >= 0, np.abs(rank - place), most)
-        out[:, k] = np.where(top >= 0, far, 0).sum(axis=1)
-    out[counts.sum(axis=1) == 0] = -1
+    for first, codes, counts in gram_counts(texts):
+        if not len(codes):
+            continue
+        top = ranked(counts, most)
+        place = np.arange(top.shape[1])
+        here = slice(first, first + len(counts))
+        for k, lang in enumerate(sorted(profiles)):
+            own = profiles[lang]
+            order = np.argsort(own)
+            at = np.minimum(np.searchsorted(own[order], codes), len(own) - 1)
+            rank = np.where(own[order][at] == codes, order[at], -1)[top]
+            far = np.where(rank >= 0, np.abs(rank - place), most)
+            out[here, k] = np.where(top >= 0, far, 0).sum(axis=1)
+        out[here][counts.sum(axis=1) == 0] = -1
     return out
 
 
@@ -119,12 +140,13 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     def count(batches):
         for whole in batches:
             for batch in slices(whole, 1, 1_000_000):
-                names = batch.column(0).to_pylist()
-                codes, counts = gram_counts(batch.column(1).to_pylist())
-                for name in sorted(set(names)):
-                    total = counts[[i for i, x in enumerate(names) if x == name]].sum(axis=0)
-                    hit = total > 0
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * int(hit.sum()), pa.string()), pa.array(codes[hit].astype(np.int64)), pa.array(total[hit])], names=["lang", "code", "n"])
+                every = batch.column(0).to_pylist()
+                for first, codes, counts in gram_counts(batch.column(1).to_pylist()):
+                    names = every[first : first + len(counts)]
+                    for name in sorted(set(names)):
+                        total = counts[[i for i, x in enumerate(names) if x == name]].sum(axis=0)
+                        hit = total > 0
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * int(hit.sum()), pa.string()), pa.array(codes[hit].astype(np.int64)), pa.array(total[hit])], names=["lang", "code", "n"])
 
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     counted = sample.select("lang", "text").mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
