@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ QUESTION = 0.6
 ANSWER = 0.5
 K1, B = 1.2, 0.75
 SHARD_CHARS = 20_000_000
+#: Cells of halves and blocks that are summed up at a time; any number gives the same passages.
+CELLS = 4_000_000
 _GRAM = 3
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -184,11 +187,18 @@ class Index:
 
     def hopeful(self, halves: np.ndarray, terms: np.ndarray, n_halves: int, threshold: float) -> np.ndarray:
         """Passages, by their first half, in which the maxima of some block reach the threshold."""
-        sizes = np.diff(self.bounds)[terms]
-        at = np.arange(int(sizes.sum())) + np.repeat(self.bounds[:-1][terms] - (np.cumsum(sizes) - sizes), sizes)
-        cells = np.bincount(np.repeat(halves, sizes) * self.n_blocks + self.block_ids[at], weights=self.block_most[at], minlength=n_halves * self.n_blocks)
-        by_half = cells.reshape(n_halves, self.n_blocks)
-        return np.nonzero((by_half[:-1] + by_half[1:]).max(axis=1) >= threshold - 1e-9)[0]
+        every = np.diff(self.bounds)[terms]
+        step, found = max(1, CELLS // max(self.n_blocks, 1)), []
+        for first in range(0, n_halves - 1, step):
+            # Some halves at a time and the one after them, so that the grid keeps within bounds.
+            n = min(step, n_halves - 1 - first) + 1
+            lo, hi = np.searchsorted(halves, [first, first + n])
+            sizes = every[lo:hi]
+            at = np.arange(int(sizes.sum())) + np.repeat(self.bounds[:-1][terms[lo:hi]] - (np.cumsum(sizes) - sizes), sizes)
+            cells = np.bincount(np.repeat(halves[lo:hi] - first, sizes) * self.n_blocks + self.block_ids[at], weights=self.block_most[at], minlength=n * self.n_blocks)
+            by_half = cells.reshape(n, self.n_blocks)
+            found.append(first + np.nonzero((by_half[:-1] + by_half[1:]).max(axis=1) >= threshold - 1e-9)[0])
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def hits(self, texts: list[str | None], threshold: float, question: float, answer: float) -> list[list[tuple[int, float, float, float]]]:
         """Verified items of each text: place of the item, score, overlap of question and of answer."""
@@ -224,17 +234,24 @@ class Index:
         return [sum(g in have[len(g) - 1] for g in side) / len(side) if side else 1.0 for side in self.sides[item]]
 
 
-def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", shard_chars: int = SHARD_CHARS) -> list[Index]:
-    """The index of each shard of the benchmark, with the statistics of all; items without a token take no part."""
+def indexes(benchmark: DataFrame, item: str = "item_id", text: str = "text", shard_chars: int = SHARD_CHARS) -> Iterator[Index]:
+    """The index of each shard of the benchmark, with the statistics of all; items without a token take no part.
+
+    One shard at a time is on the driver.
+    """
     rows = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text")).where("text IS NOT NULL").distinct()
     size = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     n = max(1, -(-int(size) // shard_chars))
-    shards, whole = [], Statistics()
-    for shard in range(n):
+
+    def items(shard: int) -> list[tuple[object, str]]:
         found = rows.where(F.pmod(F.xxhash64("text"), F.lit(n)) == shard).collect()
-        shards.append(sorted(((r["item"], r["text"]) for r in found if TOKEN.search(r["text"])), key=str))
-        whole.add([t for _, t in shards[-1]])
-    return [Index(items, whole) for items in shards]
+        return sorted(((r["item"], r["text"]) for r in found if TOKEN.search(r["text"])), key=str)
+
+    whole = Statistics()
+    for shard in range(n):
+        whole.add([t for _, t in items(shard)])
+    for shard in range(n):
+        yield Index(items(shard), whole)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
@@ -278,7 +295,11 @@ def _finder(shared, item_type: pa.DataType, threshold: float, question: float, a
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", threshold: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> DataFrame:
-    """The rows of ``docs`` that contain no benchmark item, with all their columns as they are."""
+    """The rows of ``docs`` that contain no benchmark item, with all their columns as they are.
+
+    Null and empty texts contain none and stay; an empty benchmark takes
+    nothing away.
+    """
     t = docs.columns.index(text)
     for index in indexes(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(index)
