@@ -7,7 +7,7 @@ decomposition. Quality and toxicity have a space each. The labelled vectors
 are broadcast; every document is folded into the same space, its cosine to
 every labelled vector is computed in blocks, and the labels of the nearest
 are averaged with their similarities as weights. A document's own label never
-votes on it.
+votes on it, nor does that of a document with the same text.
 """
 
 from __future__ import annotations
@@ -17,15 +17,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm.textkit import TOKEN, checkpointed, slices
 
 #: Labelled documents at most, those of least MD5 of their key. The bound of what is broadcast.
 TRAINING = 4000
-#: Terms of a label at most, those that tell it most surely.
-TERMS = 2048
 #: A term's log odds ratio stands at least so many standard errors from 0.
 SURENESS = 3.0
 DIMENSIONS = 64
@@ -61,6 +60,10 @@ def terms_of(text: str) -> set[str]:
     return out
 
 
+def text_hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text)
+
+
 class Space:
     """The latent-semantic space of one label, with the labelled vectors in it."""
 
@@ -69,8 +72,7 @@ class Space:
         self.weights = np.array([*terms.values(), BIAS], np.float32)
         self.labels = labels.astype(np.float64)
         x = self._weighted(found)
-        values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-        self.basis = vectors[:, np.argsort(-values)[:DIMENSIONS]].astype(np.float32)
+        self.basis = self._right_vectors(x)
         self.points = self._unit(x @ self.basis)
 
     def _weighted(self, found: list[set[str]]) -> np.ndarray:
@@ -82,45 +84,59 @@ class Space:
         x[:, -1] = self.weights[-1]
         return self._unit(x)
 
+    @staticmethod
+    def _right_vectors(x: np.ndarray) -> np.ndarray:
+        """The right singular vectors of the largest singular values, from the smaller of the two Gram matrices."""
+        wide = x.shape[1] > x.shape[0]
+        values, vectors = np.linalg.eigh((x @ x.T if wide else x.T @ x).astype(np.float64))
+        top = np.argsort(-values)[:DIMENSIONS]
+        top = top[values[top] > 1e-6 * max(values.max(), 1e-12)]
+        return (x.T @ vectors[:, top] / np.sqrt(values[top]) if wide else vectors[:, top]).astype(np.float32)
+
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
-    def vote(self, found: list[set[str]], own: list[int]) -> np.ndarray:
-        """The mean label of each text's neighbours, but for its own place (-1: none)."""
+    def vote(self, found: list[set[str]], own: list[set[int]]) -> np.ndarray:
+        """The mean label of each text's neighbours, but for its own places; NaN where none is similar."""
         n = len(self.points)
         k = min(NEIGHBOURS, n)
         cosine = self._unit(self._weighted(found) @ self.basis) @ self.points.T
-        for i, place in enumerate(own):
-            if place >= 0:
-                cosine[i, place] = -2
+        for i, places in enumerate(own):
+            cosine[i, list(places)] = -2
         # Rounded similarities tie by the labelled document's place.
         order = np.rint(cosine * 1e6).astype(np.int64) * n - np.arange(n)
         near = np.argpartition(-order, k - 1, axis=1)[:, :k]
         weight = np.maximum(np.take_along_axis(cosine, near, 1), 0).astype(np.float64) ** POWER
-        return (weight * self.labels[near]).sum(axis=1) / np.maximum(weight.sum(axis=1), 1e-12)
+        total = weight.sum(axis=1)
+        return np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), np.nan)
 
 
 class Model:
     """One space for quality and one for toxicity over the same labelled documents."""
 
-    def __init__(self, terms: list[dict[str, float]], ids: list, labels: np.ndarray, found: list[set[str]]) -> None:
-        self.place = {k: i for i, k in enumerate(ids)}
+    def __init__(self, terms: list[dict[str, float]], ids: list[tuple[int, list[str]]], labels: np.ndarray, found: list[set[str]]) -> None:
+        self.by_text = {t: i for i, (t, _) in enumerate(ids)}
+        self.by_key: dict[str, set[int]] = {}
+        for i, (_, keys) in enumerate(ids):
+            for k in keys:
+                self.by_key.setdefault(k, set()).add(i)
         self.spaces = [Space(t, labels[:, j], found) for j, t in enumerate(terms)]
 
     def vote(self, keys: list, texts: list[str]) -> np.ndarray:
-        """The quality and toxicity of each text."""
+        """The quality and toxicity of each text, NaN where no labelled document is similar."""
         out = np.zeros((len(texts), 2))
         for start in range(0, len(texts), _BLOCK):
             stop = min(start + _BLOCK, len(texts))
             found = [terms_of(t) for t in texts[start:stop]]
-            own = [self.place.get(k, -1) for k in keys[start:stop]]
+            places = [self.by_text.get(text_hash(t)) for t in texts[start:stop]]
+            own = [self.by_key.get(k, set()) | ({p} if p is not None else set()) for k, p in zip(keys[start:stop], places, strict=True)]
             for j, space in enumerate(self.spaces):
                 out[start:stop, j] = space.vote(found, own)
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", training: int = TRAINING, terms: int = TERMS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", training: int = TRAINING) -> Model | None:
     """Fit the model on at most ``training`` labelled documents.
 
     Repeated labels of a key count as the worst of them; null labels, keys
@@ -130,12 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """
     judged = labels.where(F.col("quality").isNotNull() & F.col("toxic").isNotNull() & F.col(key).isNotNull())
     judged = judged.groupBy(F.col(key).cast("string").alias("k")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    first = Window.partitionBy(F.lit(0)).orderBy("h", "k")
-    # Only the first rows of each partition reach the single window partition.
-    chosen = judged.withColumn("h", F.md5("k")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= training).drop("n", "h")
+    chosen = judged.withColumn("h", F.md5("k")).orderBy("h", "k").limit(training).drop("h")
     rows = docs.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''")
     # Copies of one text are one labelled document, else their chance words would look telling.
-    sample = checkpointed(rows.join(F.broadcast(chosen), "k").groupBy("t").agg(F.min("k").alias("k"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("k", "t", "quality", "toxic"))
+    sample = checkpointed(rows.join(F.broadcast(chosen), "k").groupBy("t").agg(F.sort_array(F.collect_set("k")).alias("k"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).select("k", "t", "quality", "toxic"))
 
     def words(batches):
         for batch in batches:
@@ -162,17 +176,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen_terms = []
     for hit, of in (("q", int(total["q"])), ("x", int(total["x"]))):
         weight, surely = odds(hit, of)
-        best = counted.select("term", weight.alias("w"), surely.alias("z")).where(F.col("z") >= SURENESS).orderBy(F.desc("z"), "term").limit(terms).collect()
+        best = counted.select("term", weight.alias("w"), surely.alias("z")).where(F.col("z") >= SURENESS).orderBy(F.desc("z"), "term").collect()
         chosen_terms.append({r["term"]: r["w"] for r in best})
     wanted = set().union(*chosen_terms)
 
     def find(batches):
         for batch in batches:
             hits = [sorted(terms_of(x) & wanted) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3).cast(pa.int32()), pa.array(hits, pa.list_(pa.string()))], names=["k", "quality", "toxic", "hits"])
+            texts = pa.array([np.uint64(text_hash(x)).astype(np.int64) for x in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts, batch.column(2).cast(pa.int32()), batch.column(3).cast(pa.int32()), pa.array(hits, pa.list_(pa.string()))], names=["k", "t", "quality", "toxic", "hits"])
 
-    rows = sorted(sample.mapInArrow(find, "k string, quality int, toxic int, hits array<string>").collect(), key=lambda r: r["k"])
-    return Model(chosen_terms, [r["k"] for r in rows], np.array([[r["quality"], r["toxic"]] for r in rows]), [set(r["hits"]) for r in rows])
+    rows = sorted(sample.mapInArrow(find, "k array<string>, t bigint, quality int, toxic int, hits array<string>").collect(), key=lambda r: r["k"])
+    return Model(chosen_terms, [(r["t"] % (1 << 64), r["k"]) for r in rows], np.array([[r["quality"], r["toxic"]] for r in rows]), [set(r["hits"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -180,8 +195,11 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
 
     A document is kept if its quality score is at least 0.5 and its toxicity
     score less. A null or empty text has null scores and isn't kept; without
-    a model every other document is kept with null scores. Whole texts are
-    read; repeated rows get equal scores; other columns are not read.
+    a model every other document is kept with null scores. Where no labelled
+    document but its own is similar, a score is null and rejects nothing.
+    Ties go to the labelled document of the first key. Whole texts are read;
+    repeated rows get equal scores; an empty table gives an empty result;
+    other columns are not read.
     """
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -190,24 +208,28 @@ def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str =
         for whole in batches:
             for batch in slices(whole, 2):
                 texts = batch.column(2).to_pylist()
-                scores, none = _scores(shared.value, batch.column(1).to_pylist(), texts)
-                keep = [bool(t) and (bool(z) or (s[0] >= 0.5 and s[1] < 0.5)) for t, s, z in zip(texts, scores, none, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores[:, 0], mask=none), pa.array(scores[:, 1], mask=none), pa.array(keep, pa.bool_())], names=["key", "quality_score", "toxicity_score", "keep"])
+                scores = _scores(shared.value, batch.column(1).to_pylist(), texts)
+                keep = [bool(t) and _passes(s) for t, s in zip(texts, scores, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(s, mask=np.isnan(s)) for s in scores.T), pa.array(keep, pa.bool_())], names=["key", "quality_score", "toxicity_score", "keep"])
 
     out = docs.select(F.col(key).alias("key"), F.col(key).cast("string").alias("k"), F.col(text).cast("string").alias("text"))
     return out.mapInArrow(run, f"key {kind}, quality_score double, toxicity_score double, keep boolean").withColumnRenamed("key", key)
 
 
-def _scores(model: Model | None, keys: list, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    scores = np.zeros((len(texts), 2))
+def _passes(scores: np.ndarray) -> bool:
+    return not (scores[0] < 0.5 or scores[1] >= 0.5)
+
+
+def _scores(model: Model | None, keys: list, texts: list[str | None]) -> np.ndarray:
+    scores = np.full((len(texts), 2), np.nan)
     some = [i for i, t in enumerate(texts) if t]
     if model and some:
         scores[some] = model.vote([keys[i] for i in some], [texts[i] for i in some])
-    return scores, np.array([model is None or not t for t in texts], bool)
+    return scores
 
 
 def keep_good(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns as they are."""
+    """The rows of ``docs`` that the classifier keeps (see :func:`score`), with all their columns as they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     k, t = docs.columns.index(key), docs.columns.index(text)
 
@@ -215,8 +237,8 @@ def keep_good(docs: DataFrame, model: Model | None, key: str = "doc_id", text: s
         for whole in batches:
             for batch in slices(whole, t):
                 texts = batch.column(t).to_pylist()
-                scores, none = _scores(shared.value, [None if x is None else str(x) for x in batch.column(k).to_pylist()], texts)
-                yield batch.filter(pa.array([bool(x) and (bool(z) or (s[0] >= 0.5 and s[1] < 0.5)) for x, s, z in zip(texts, scores, none, strict=True)], pa.bool_()))
+                scores = _scores(shared.value, [None if x is None else str(x) for x in batch.column(k).to_pylist()], texts)
+                yield batch.filter(pa.array([bool(x) and _passes(s) for x, s in zip(texts, scores, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
