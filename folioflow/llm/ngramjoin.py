@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.textkit import SQL_WORDS, Rolling, TokenHashes, checkpointed, hashed, mix64, pack_planes, parts_of, slices, tokens_of, unpack_planes, window_starts
+from folioflow.llm.textkit import SQL_WORDS, Rolling, Sieve, TokenHashes, checkpointed, hashed, mix64, pack_planes, parts_of, slices, tokens_of, unpack_planes, window_starts
 from folioflow.operators.graph import components, written
 
 GRAM = 3
@@ -58,8 +58,6 @@ SKETCH, ALIKE = 16, 6
 ROUNDS = 4
 #: Entries of a block of an index list.
 BLOCK = 16
-#: Bits of the filter that is broadcast ahead of an exact join, at most: 16 MB.
-FILTER_BITS = 1 << 27
 _CHARS = 12_000_000
 #: Pairs that are compared at a time, and counted pairs that a task holds before it sends them off.
 _HELD = 1_000_000
@@ -229,42 +227,6 @@ def _ranks(grams: np.ndarray, known: np.ndarray, times: np.ndarray) -> np.ndarra
     return np.where(known[at] == top, times[at], 0)
 
 
-def _bits(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    mixed = mix64(ids.astype(np.int64).view(np.uint64))
-    return (mixed % np.uint64(size)).astype(np.int64), ((mixed >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
-
-
-def _sieve(ids: DataFrame, n: int):
-    """A filter of at most ``FILTER_BITS`` that lets all ``ids`` through and, while they are few enough, little else."""
-    size = min(FILTER_BITS, 1 << max(10, (12 * n).bit_length()))
-    spark = ids.sparkSession
-
-    def mark(batches):
-        flags = np.zeros(size, bool)
-        for batch in batches:
-            for at in _bits(np.asarray(batch.column(0)), size):
-                flags[at] = True
-        words = np.packbits(flags).view(np.uint64)
-        some = np.nonzero(words)[0]
-        for k in range(0, len(some), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000]), pa.array(words[some[k : k + 100_000]].view(np.int64))], names=["at", "word"])
-
-    words = np.zeros(size // 64, np.uint64)
-    # At most one row for each of the filter's words.
-    for batch in ids.mapInArrow(mark, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow().to_batches():
-        words[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).view(np.uint64)
-    shared = spark.sparkContext.broadcast(words)
-
-    def maybe(found: np.ndarray) -> np.ndarray:
-        flags = shared.value.view(np.uint8)
-        hit = np.ones(len(found), bool)
-        for at in _bits(found, size):
-            hit &= (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
-        return hit
-
-    return maybe
-
-
 def _sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The min-hashes of each set's trigrams."""
     starts = np.cumsum(sizes) - sizes
@@ -273,12 +235,6 @@ def _sketches(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def _sets(rows: DataFrame, good: DataFrame, kind: str) -> DataFrame:
     """The documents by set (``hash``, ``rid``, ``key``, and the ``n``, ``grams``, ``sketch`` of the set in one or some of its rows), each once for each task that saw it."""
-    maybe = _sieve(good, good.count())
-
-    def sieve(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(maybe(np.asarray(batch.column(0)))))
-
     def sets(batches):
         cache, seen = TokenHashes(), set()
         for whole in batches:
@@ -304,7 +260,7 @@ def _sets(rows: DataFrame, good: DataFrame, kind: str) -> DataFrame:
                     seen.add(name)
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes[some], pa.int32()), pa.array(blobs, pa.binary()), pa.array(marks, pa.binary()), batch.column(0).take(pa.array(some)), batch.column(2).take(pa.array(some))], names=["hash", "n", "grams", "sketch", "rid", "key"])
 
-    kept = rows.mapInArrow(sieve, rows.schema).join(good, "rid", "left_semi").select("rid", "text", "key")
+    kept = Sieve(good).let(rows, "rid").join(good, "rid", "left_semi").select("rid", "text", "key")
     return checkpointed(kept.mapInArrow(sets, f"hash bigint, n int, grams binary, sketch binary, rid bigint, key {kind}"))
 
 
@@ -641,13 +597,7 @@ def _across(pairs: DataFrame, units: DataFrame, grams: DataFrame, similarity: fl
     both = F.array(F.struct(F.col("other").alias("unit"), F.lit(1).alias("side")), F.struct(F.col("hub").alias("unit"), F.lit(0).alias("side")))
     needed = placed.select("hub", "cut", F.explode(both).alias("u")).select("hub", "cut", "u.unit", "u.side").distinct()
     needed = written(needed.join(units.select("unit", "hash", "w"), "unit").select("hub", "cut", "side", "hash", "w"))
-    maybe = _sieve(needed.select("hash"), needed.count())
-
-    def sieve(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(maybe(np.asarray(batch.column(0)))))
-
-    sent = needed.join(grams.mapInArrow(sieve, grams.schema), "hash").select("hub", "cut", "side", "hash", "w", "grams")
+    sent = needed.join(Sieve(needed.select("hash")).let(grams, "hash"), "hash").select("hub", "cut", "side", "hash", "w", "grams")
 
     def run(batches):
         for table in _runs_of(batches, [0, 1]):
@@ -722,17 +672,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", similarit
     row = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(names)], _rid(docs[key], docs[text]).alias("rid"), F.coalesce(docs[text], F.lit("")).alias("__t")).where("__t <> ''").drop("__t")
     twice = row.groupBy("rid").agg(F.count("*").alias("n")).where("n > 1").select("rid")
     doubtful = written(gone.unionAll(twice))
-    maybe = _sieve(doubtful, doubtful.count())
-
-    def sieve(pick: bool):
-        def run(batches):
-            for batch in batches:
-                yield batch.filter(pa.array(maybe(np.asarray(batch.column(len(names)))) == pick))
-
-        return run
-
-    clear = row.mapInArrow(sieve(False), row.schema).drop("rid")
-    rest = row.mapInArrow(sieve(True), row.schema).join(gone, "rid", "left_anti").dropDuplicates(["rid"]).drop("rid")
+    sieve = Sieve(doubtful)
+    clear = sieve.let(row, "rid", held=False).drop("rid")
+    rest = sieve.let(row, "rid").join(gone, "rid", "left_anti").dropDuplicates(["rid"]).drop("rid")
     bare = docs.where(F.coalesce(docs[text], F.lit("")) == "")
     return clear.unionAll(rest).toDF(*names).unionAll(bare)
 

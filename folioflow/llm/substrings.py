@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.textkit import SQL_WORDS, TOKEN, Rolling, TokenHashes, checkpointed, hashed, mix64, pack_planes, partitions, slices, tokens_of, unpack_planes, window_starts
+from folioflow.llm.textkit import SQL_WORDS, TOKEN, Rolling, Sieve, TokenHashes, checkpointed, hashed, mix64, pack_planes, partitions, slices, tokens_of, unpack_planes, window_starts
 
 SEED = 25
 _CHARS = 12_000_000
@@ -193,6 +193,15 @@ def _rows(docs: DataFrame, key: str, text: str) -> tuple[Column, Column]:
     return F.when(F.col(key).isNull(), unnamed).otherwise(named).alias("ord"), F.hash(F.col(text).cast("string")).alias("tag")
 
 
+def _name() -> Column:
+    return F.xxhash64("ord", "tag").alias("name")
+
+
+def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows whose document may be among the others."""
+    return Sieve(others.select(_name())).let(rows.select("*", _name()), "name").drop("name")
+
+
 def _state(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
     """Spans of all documents as rows of kind 1, of which each bucket has one at most."""
     if seed < 1:
@@ -221,7 +230,7 @@ def _state(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
         return pa.table([pa.array(o[at]), pa.array(t[at], pa.int32()), pa.array(places, pa.binary())], names=["ord", "tag", "places"])
 
     found = rows.mapInArrow(pick, _SENT_DDL).groupBy("part").applyInArrow(seeds, "ord bigint, tag int, places binary")
-    hits = found.groupBy("ord", "tag").agg(F.collect_list("places").alias("places"))
+    hits = checkpointed(found.groupBy("ord", "tag").agg(F.collect_list("places").alias("places")))
 
     def extend(batches):
         cache = TokenHashes()
@@ -254,7 +263,7 @@ def _state(docs: DataFrame, key: str, text: str, seed: int) -> DataFrame:
         part = table.column("part")[0].as_py()
         return _table([(part, 0, pack_planes(runs, _RUN)), (part, 1, pack_planes(_spans(runs, length), _SPAN))])
 
-    windows = rows.join(hits, ["ord", "tag"]).select("ord", "tag", "text", "places").mapInArrow(extend, _SENT_DDL)
+    windows = _met(rows, hits).join(hits, ["ord", "tag"]).select("ord", "tag", "text", "places").mapInArrow(extend, _SENT_DDL)
     state = checkpointed(windows.groupBy("part").applyInArrow(settle, _SENT_DDL).groupBy("part").applyInArrow(gather, _SENT_DDL))
     while state.where("kind = 0 AND octet_length(data) > 8").take(1):
         state, length = _doubled(state, parts, length, 2 * seed), 2 * length
@@ -381,13 +390,17 @@ def cut_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: i
     The first occurrence of a stretch stays. A document of which no token is
     left goes; one without copies is returned as it is, null and empty texts
     too. Where there is a column ``size``, it gets the new length of a cut
-    text. Columns are as they were, whatever their names.
+    text. Columns are as they were, whatever their names. Only texts that
+    have copies are exchanged.
     """
     spans = _opened(_state(docs, key, text, seed)).where("copy").groupBy("ord", "tag").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
     names = docs.columns
     t, n = names.index(text), names.index(size) if size in names else -1
-    plain = docs.select(*_rows(docs, key, text), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)])
-    joined = plain.join(spans, ["ord", "tag"], "left").select(*[f"c{i}" for i in range(len(names))], "starts", "stops")
+    spans = checkpointed(spans)
+    plain = docs.select(*_rows(docs, key, text), *[docs[c].alias(f"c{i}") for i, c in enumerate(names)], _name())
+    sieve = Sieve(spans.select(_name()))
+    joined = sieve.let(plain, "name").join(spans, ["ord", "tag"], "left").select(*[f"c{i}" for i in range(len(names))], "starts", "stops")
+    whole = sieve.let(plain, "name", held=False).select(*[f"c{i}" for i in range(len(names))])
 
     def run(batches):
         for batch in batches:
@@ -409,7 +422,7 @@ def cut_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", seed: i
             yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(names))]).filter(pa.array(keep))
 
     schema = T.StructType([T.StructField(f"c{i}", f.dataType, True) for i, f in enumerate(docs.schema.fields)])
-    return joined.mapInArrow(run, schema).toDF(*names)
+    return joined.mapInArrow(run, schema).unionAll(whole).toDF(*names)
 
 
 def op6_substring_dedup(spark, sf_dir: str) -> DataFrame:

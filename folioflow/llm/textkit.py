@@ -129,6 +129,57 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bits of a sieve, at most: 16 MB are broadcast.
+SIEVE_BITS = 1 << 27
+
+
+class Sieve:
+    """A filter that lets all of some ids through and, while they are few enough for its bits, little else.
+
+    It stands ahead of an exact join by the id, to spare the exchange of rows
+    that have no part in it; the result is the same whatever it lets through.
+    """
+
+    def __init__(self, ids: DataFrame) -> None:
+        n = ids.count()
+        size = self.size = min(SIEVE_BITS, 1 << max(10, (12 * n).bit_length()))
+
+        def mark(batches):
+            flags = np.zeros(size, bool)
+            for batch in batches:
+                for at in _places(np.asarray(batch.column(0)), size):
+                    flags[at] = True
+            words = np.packbits(flags).view(np.uint64)
+            some = np.nonzero(words)[0]
+            for k in range(0, len(some), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(some[k : k + 100_000]), pa.array(words[some[k : k + 100_000]].view(np.int64))], names=["at", "word"])
+
+        words = np.zeros(size // 64, np.uint64)
+        # At most one row for each word of the filter.
+        for batch in ids.mapInArrow(mark, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow().to_batches():
+            words[np.asarray(batch.column(0))] = np.asarray(batch.column(1)).view(np.uint64)
+        self.shared = ids.sparkSession.sparkContext.broadcast(words)
+
+    def let(self, df: DataFrame, column: str, held: bool = True) -> DataFrame:
+        """The rows whose id may be one of those let through; with ``held`` false, the others, of which none is."""
+        shared, size, k = self.shared, self.size, df.columns.index(column)
+
+        def run(batches):
+            flags = shared.value.view(np.uint8)
+            for batch in batches:
+                hit = np.ones(batch.num_rows, bool)
+                for at in _places(np.asarray(batch.column(k)), size):
+                    hit &= (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+                yield batch.filter(pa.array(hit == held))
+
+        return df.mapInArrow(run, df.schema)
+
+
+def _places(ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    mixed = mix64(ids.astype(np.int64).view(np.uint64))
+    return (mixed % np.uint64(size)).astype(np.int64), ((mixed >> np.uint64(32)) % np.uint64(size)).astype(np.int64)
+
+
 #: Bytes of a part at most, about; what a task holds at a time.
 PART_BYTES = 256_000_000
 
