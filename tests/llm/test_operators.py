@@ -1,7 +1,10 @@
+import math
 import random
 import textwrap
+import time
 
 import duckdb
+import numpy as np
 import pytest
 
 from folioflow.llm import decontaminate, fingerprints, html, language, licenses, quality, registry, sharding
@@ -102,7 +105,71 @@ def test_main_text_leaves_navigation_out():
     body = "".join(f"<p>{'A sentence of the article that says much. ' * 8}</p>" for _ in range(5))
     text = html.main_text(f"<html><body><ul>{links}</ul><div><article>{body}</article></div><script>var a='</p>'</script></body></html>")
     assert text.count("article that says") == 40 and "Link number" not in text and "var a" not in text
-    assert html.main_text(None) is None and html.main_text("") == "" and html.main_text("<p>unclosed <b>tags") is not None
+    assert html.main_text(None) is None and html.main_text("") == "" and html.main_text("<p>unclosed <b>tags") == "unclosed tags"
+    assert html.main_text("just words") == "just words" and html.main_text("<body><h1>A head</h1><p>A text without a link.</p></body>") == "A head\nA text without a link."
+
+
+def naive_text(source):
+    """Main text by the definition itself, every subtree walked anew."""
+    page = html.Page(source)
+    n = len(page.tag)
+    kids = [[k for k in range(n) if page.parent[k] == i] for i in range(n)]
+    tree = lambda i: [i, *(x for k in kids[i] for x in tree(k))]
+    up = lambda i: [] if i < 0 else [i, *up(page.parent[i])]
+    body = next((i for i in range(n) if page.tag[i] == "body"), 0)
+    gone = {i for i in range(n) if any(page.tag[k] in html._SKIPPED for k in up(i))}
+    linked = {i for i in range(n) if any(page.tag[k] == "a" for k in up(i))}
+
+    def counts(i):
+        own = set(tree(i)) - (gone if i not in gone else set())
+        texts = [(k, t) for _, k, t in page.texts if k in own and k not in gone]
+        return sum(len(t) for _, t in texts), len(own), sum(len(t) for k, t in texts if k in linked), len(own & linked)
+
+    c, _, lc, _ = counts(body)
+    ratio = lc / (c or 1)
+
+    def density(c, t, lc, lt):
+        base = math.log(c / ((c - lc) or 1) * lc + ratio * c + math.e)
+        return c / t * (math.log(c / (lc or 1) * (t / (lt or 1))) / (math.log(base) or 1)) if c else 0.0
+
+    dense = [0.0 if i in gone else density(*counts(i)) for i in range(n)]
+    total = [sum(dense[k] for k in kids[i]) for i in range(n)]
+    best = lambda i: max(tree(i), key=lambda k: (total[k], -k))
+    top = best(body)
+    least = min(dense[k] for k in up(top) if body in up(k))
+    marked, todo = set(), [body]
+    direct = set()
+    while todo:
+        i = todo.pop()
+        if i in marked or not dense[i] or dense[i] < least:
+            continue
+        own = sum(len(t) for _, k, t in page.texts if k == i and k not in gone)
+        marked |= set(tree(best(i)))
+        if (density(own, 1, own * (i in linked), int(i in linked)) if own else 0.0) >= least:
+            direct.add(i)
+        todo += kids[i]
+    return [t for _, k, t in page.texts if k not in gone and (k in marked or k in direct)]
+
+
+@pytest.mark.parametrize("links", [True, False])
+def test_main_text_equals_the_definition_on_random_trees(links):
+    rng = random.Random(11 + links)
+
+    def element(depth):
+        tag = rng.choice(["div", "section", "p", "ul", "b"] + ["a"] * links)
+        inner = "".join(element(depth - 1) for _ in range(rng.randrange(4))) if depth else ""
+        return f"<{tag}>{' '.join(['word'] * rng.randrange(12))}{inner}</{tag}>"
+
+    for _ in range(60):
+        source = f"<body>{''.join(element(4) for _ in range(rng.randrange(1, 5)))}</body>"
+        assert html.main_text(source).split() == " ".join(naive_text(source)).split()
+
+
+def test_deep_and_broken_pages_take_no_longer_than_others():
+    began = time.process_time()
+    assert html.main_text("<body>" + "<div>" * 20_000 + "deep text" + "</div>" * 20_000) == "deep text"
+    assert html.main_text("<body>" + "<div>" * 5_000 + "<p>a</p><b>x</i>" * 5_000).startswith("a\nx")
+    assert time.process_time() - began < 20
 
 
 @pytest.mark.parametrize(
@@ -175,7 +242,7 @@ def test_shards_of_a_benchmark_score_as_the_whole(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
 
     def hits(shard_chars):
-        found = decontaminate.indexes(bench, shard_chars=shard_chars)
+        found = list(decontaminate.indexes(bench, shard_chars=shard_chars))
         return len(found), {(n, x.items[i], *(round(v, 6) for v in values)) for x in found for n, row in enumerate(x.hits(texts, 0.4, 0, 0)) for i, *values in row}
 
     (one, want), (many, got) = hits(10**9), hits(3_000)
@@ -192,7 +259,30 @@ def test_planted_items_are_found_and_clean_texts_stay(spark):
     assert got == {(i, i) for i in range(10)}
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and kept.count() == docs.count() - 10 - 0
-    assert decontaminate.contamination(docs, bench.limit(0)).count() == 0
+    assert decontaminate.contamination(docs, bench.limit(0)).count() == 0 and decontaminate.contamination(docs.limit(0), bench).count() == 0
+    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == docs.count() and decontaminate.drop_contaminated(docs.limit(0), bench).count() == 0
+
+
+def test_hits_equal_brute_force_whatever_the_grid(monkeypatch):
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(150)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(5, 90)))) for i in range(30)]
+    index = decontaminate.Index(items)
+    texts = [None, "", *(" ".join([*(rng.choice(vocabulary) for _ in range(rng.randrange(200))), items[i][1], *(rng.choice(vocabulary) for _ in range(rng.randrange(200)))]) for i in range(30))]
+
+    def naive(text):
+        tokens, out = decontaminate.TOKEN.findall(text.lower()) if text else [], {}
+        for (start, unit), score in naive_hits(index, tokens, 0.5).items():
+            item = index.owner[unit]
+            near = tokens[max(start - index.sizes[item], 0) : start + 2 * decontaminate.UNIT + index.sizes[item]]
+            out.setdefault(item, []).append((score, index.overlap(item, near)))
+        return {i for i, found in out.items() if any(q >= 0.6 and a >= 0.5 for _, (q, a) in found)}
+
+    want = [naive(t) for t in texts]
+    assert sum(map(len, want)) >= 30
+    for cells in (decontaminate.CELLS, 10):
+        monkeypatch.setattr(decontaminate, "CELLS", cells)
+        assert [{i for i, *_ in hits} for hits in index.hits(texts, 0.5, 0.6, 0.5)] == want
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -204,6 +294,63 @@ def test_classifier_on_held_out_labels(spark):
     assert right > 0.9 and harmless > 0.9
 
 
+def test_votes_equal_brute_force_and_own_labels_have_none(spark):
+    rng = random.Random(4)
+    say = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    good, bad = [f"g{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rows = [(i, say(good if i % 2 else bad, 30)) for i in range(60)]
+    # 900 is labelled; 901 has its text, 902 its words twice.
+    rows += [(900, "g1 g2 g3 b1"), (901, "g1 g2 g3 b1"), (901, "g1 g2 g3 b1"), (902, "g1 g2 g3 b1 g1 g2 g3 b1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(900, 0, 1)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    space = model.spaces[0]
+    texts = {k: t for k, t in rows}
+    got = {r["doc_id"]: r["quality_score"] for r in quality.score(docs, model).collect()}
+    for k, t in texts.items():
+        x = np.zeros(len(space.weights))
+        for w in quality.terms_of(t) & space.index.keys():
+            x[space.index[w]] = space.weights[space.index[w]]
+        x[-1] = space.weights[-1]
+        v = x @ space.basis.astype(float)
+        mine = {i for i, (_, keys) in enumerate(sorted([(quality.text_hash(texts[j]), [str(j)]) for j in [*range(60), 900]], key=lambda z: z[1])) if texts[int(keys[0])] == t or keys[0] == str(k)}
+        near = sorted(((round(float(v @ p / np.linalg.norm(v)) * 1e6), -i) for i, p in enumerate(space.points) if i not in mine), reverse=True)[: quality.NEIGHBOURS]
+        weight = np.array([max(c / 1e6, 0) ** quality.POWER for c, _ in near])
+        assert abs((weight * [space.labels[-i] for _, i in near]).sum() / weight.sum() - got[k]) < 1e-3
+    assert got[900] == got[901] and len([r for r in quality.score(docs, model).collect() if r["doc_id"] == 901]) == 2
+
+
+def test_without_another_labelled_document_scores_are_null(spark):
+    docs = spark.createDataFrame([(1, "one good text"), (2, "one good text"), (3, None), (4, "")], "doc_id long, text string")
+    model = quality.train(docs, spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: tuple(r)[1:] for r in quality.score(docs, model).collect()}
+    assert got == {1: (None, None, True), 2: (None, None, True), 3: (None, None, False), 4: (None, None, False)}
+
+
+def test_spaces_of_many_terms_equal_those_of_few():
+    rng = np.random.default_rng(2)
+    x = rng.random((30, 90)).astype(np.float32)
+    wide, low = quality.Space._right_vectors(x), quality.Space._right_vectors(np.vstack([x, np.zeros((80, 90), np.float32)]))
+    assert np.allclose(np.abs((wide.T @ low)).sum(axis=0), 1, atol=1e-2)
+
+
+def test_containment_of_a_part_in_the_whole(spark):
+    tokens = [f"t{i}" for i in range(6_000)]
+    prints = fingerprints.fingerprint(spark.createDataFrame([(1, " ".join(tokens)), (2, " ".join(tokens[:3_000])), (3, None)], "doc_id long, text string"))
+    both = prints.selectExpr("doc_id AS a", "sketch AS small").crossJoin(prints.selectExpr("doc_id AS b", "sketch AS large"))
+    got = {(r["a"], r["b"]): r["c"] for r in both.select("a", "b", fingerprints.containment(both["small"], both["large"]).alias("c")).collect()}
+    assert got[2, 1] == got[1, 1] == 1 and 0.3 < got[1, 2] < 0.7 and got[3, 1] is None
+
+
+def test_languages_of_other_scripts_within_bounds(monkeypatch):
+    rng = random.Random(3)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(40)) for _ in range(60)] + [None, "", "abc abd", "abc abd"]
+    profiles = {"aa": np.unique(rng.choices([int(c) for c in language._grams(["abc", "abd"])[0]], k=20)).astype(np.uint64)}
+    want = language.distances(texts, profiles, 50)
+    monkeypatch.setattr(language, "CELLS", 500)
+    assert (language.distances(texts, profiles, 50) == want).all() and (want[60:62] == -1).all() and (want[:60] > 0).all()
+
+
 def test_classifier_without_labels_keeps_texts(spark, edges):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.train(edges, labels)
