@@ -58,7 +58,7 @@ SKETCH, ALIKE = 16, 6
 ROUNDS = 4
 #: Entries of a block of an index list.
 BLOCK = 16
-_CHARS = 12_000_000
+_CHARS = 6_000_000
 #: Pairs that are compared at a time, and counted pairs that a task holds before it sends them off.
 _HELD = 1_000_000
 _PAIR = (np.int64, np.int64, np.int32, np.int32)
@@ -238,7 +238,7 @@ def _sets(rows: DataFrame, good: DataFrame, kind: str) -> DataFrame:
     def sets(batches):
         cache, seen = TokenHashes(), set()
         for whole in batches:
-            for batch in slices(whole, 1, _CHARS // 4):
+            for batch in slices(whole, 1, _CHARS // 2):
                 grams, owners = _gram_sets(batch.column(1).to_pylist(), cache)
                 sizes = np.bincount(owners, minlength=batch.num_rows)
                 edges = np.append(0, np.cumsum(sizes))

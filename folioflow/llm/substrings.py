@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from folioflow.llm.textkit import SQL_WORDS, TOKEN, Rolling, Sieve, TokenHashes, checkpointed, hashed, mix64, pack_planes, partitions, slices, tokens_of, unpack_planes, window_starts
 
 SEED = 25
-_CHARS = 12_000_000
+_CHARS = 6_000_000
 _NULLS = 1 << 62
 _ITEM = (np.uint64, np.int64, np.int32, np.int32)
 _RUN = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32)

@@ -7,6 +7,7 @@ DuckDB (``SQL_WORDS``).
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 from itertools import chain
@@ -33,7 +34,7 @@ def words(col: Column) -> Column:
 class TokenHashes(dict):
     """Token -> 64-bit hash, remembered for the tokens seen lately."""
 
-    def __init__(self, most: int = 400_000) -> None:
+    def __init__(self, most: int = 200_000) -> None:
         super().__init__()
         self.most = most
 
@@ -96,8 +97,16 @@ def window_starts(bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarr
     return starts, owner
 
 
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: workers are reused, and would hold on to their peak."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: int, chars: int = 3_000_000):
-    """Cut a batch so that each piece holds about so many bytes of text."""
+    """Cut a batch so that each piece holds about so many bytes of text; freed memory is given back behind the last."""
     sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), np.int64)
     total, start = np.cumsum(sizes), 0
     while start < batch.num_rows:
@@ -105,6 +114,7 @@ def slices(batch: pa.RecordBatch, column: int, chars: int = 3_000_000):
         stop = max(start + 1, int(np.searchsorted(total, before + chars, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    _trim()
 
 
 def pack_planes(columns: list[np.ndarray], kinds: tuple) -> bytes:
