@@ -93,7 +93,14 @@ def singular(token: Column) -> Column:
 
 def known_text(data: Column, charset: str = "UTF-8") -> Column:
     """Bytes as text; sequences that the charset doesn't know become replacement characters."""
-    return F.regexp_replace(F.decode(data, charset), r"[\x{D800}-\x{DFFF}]", "�")
+    if charset.upper() == "UTF-8":
+        return F.make_valid_utf8(data.cast("string"))
+
+    @F.pandas_udf(T.StringType())
+    def decoded(x: pd.Series) -> pd.Series:
+        return x.map(lambda b: bytes(b).decode(charset, "replace"), na_action="ignore")
+
+    return decoded(data)
 
 
 def imap_encoded(name: str) -> str:

@@ -72,8 +72,9 @@ def word_vectors(sentences: DataFrame, column: str = "tokens", dims: int = 100,
 def gram_vector(token: Column, dims: int = 64) -> Column:
     """A vector for any word from its character n-grams of 3 to 6, hashed to signs: like spellings have like vectors."""
     padded = F.concat(F.lit("<"), token, F.lit(">"))
-    grams = F.flatten(F.array(*[F.transform(F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.substring(padded, i, F.lit(n))) for n in _GRAMS]))
-    sign = lambda g, d: F.when(F.pmod(F.xxhash64(g, F.lit(d)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    starts = lambda n: F.when(F.length(padded) >= n, F.sequence(F.lit(1), F.length(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
+    gram = lambda n: lambda i: F.substring(padded, i, F.lit(n))
+    grams = F.flatten(F.array(*[F.transform(starts(n), gram(n)) for n in _GRAMS]))
     sums = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(grams, F.lit(0.0), lambda s, g: s + F.when(F.pmod(F.xxhash64(g, d), F.lit(2)) == 0, 1.0).otherwise(-1.0)))
     return F.transform(sums, lambda x: x / F.greatest(F.size(grams), F.lit(1)))
 

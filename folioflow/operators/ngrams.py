@@ -116,7 +116,8 @@ def replace_ngrams(df: DataFrame, ngrams: DataFrame, column: str = "tokens", bou
     sizes = [r[0] for r in usable.select(F.size("members")).distinct().collect()]
     rows = df.withColumn("__id", F.monotonically_increasing_id())
     start = lambda n: F.when(F.size(column) >= n, F.sequence(F.lit(0), F.size(column) - n)).otherwise(F.array().cast("array<int>"))
-    runs = F.flatten(F.array(*[F.transform(start(n), lambda i, n=n: F.struct(i.alias("i"), F.lit(n).alias("size"), F.array_join(F.slice(column, i + 1, n), "_").alias("run"))) for n in sorted(sizes)]))
+    run = lambda n: lambda i: F.struct(i.alias("i"), F.lit(n).alias("size"), F.array_join(F.slice(column, i + 1, n), "_").alias("run"))
+    runs = F.flatten(F.array(*[F.transform(start(n), run(n)) for n in sorted(sizes)]))
     told = rows.select("__id", F.explode(runs).alias("r")).select("__id", "r.*").join(usable.select(F.array_join("members", "_").alias("run")), "run", "left_semi")
     hits = told.groupBy("__id").agg(F.collect_list(F.struct("i", "size")).alias("__hits"))
     none = F.array().cast("array<struct<i:int,size:int>>")

@@ -209,10 +209,8 @@ def _mapped(df: DataFrame, vector: str, f) -> DataFrame:
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def apply(v: pd.Series) -> pd.Series:
         some = v.notna()
-        out = pd.Series([None] * len(v), index=v.index, dtype=object)
-        if some.any():
-            out[some] = list(f(np.stack(v[some].to_list()).astype(np.float64)))
-        return out
+        rows = iter(f(np.stack(v[some].to_list()).astype(np.float64)) if some.any() else ())
+        return pd.Series([next(rows) if s else None for s in some], index=v.index, dtype=object)
 
     return df.withColumn(vector, apply(F.col(vector)))
 

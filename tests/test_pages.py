@@ -139,7 +139,8 @@ def test_tokens(spark):
     assert column(spark, ["new_york_city", "_DATE_", "of_DATE", "word"], K.members_of) == [["new", "york", "city"], None, ["of", "_DATE_"], None]
     assert column(spark, ["chevaux", "cars", "gas", "aux", "ponies"], K.singular) == ["cheval", "car", "gas", "aux", "ponie"]
     assert column(spark, ["One two.\n\nThree the four"], lambda x: K.tokenize_paragraphs(F.lower(x), stemmed=False, meta=False)) == [[["one", "two"], ["three", "four"]]]
-    assert column(spark, [b"caf\xc3\xa9", b"\xff\xfe"], K.known_text, "binary")[0] == "café"
+    assert column(spark, [b"caf\xc3\xa9", b"a\xffb", None], K.known_text, "binary") == ["café", "a\ufffdb", None]
+    assert column(spark, [b"caf\xe9", None], lambda x: K.known_text(x, "ISO-8859-1"), "binary") == ["café", None] and column(spark, [b"a\xffb"], lambda x: K.known_text(x, "ascii"), "binary") == ["a\ufffdb"]
 
 
 def test_folder_names_go_through_the_codec():

@@ -122,7 +122,7 @@ def test_word_vectors_put_like_words_together(spark):
     assert models.word_vectors(spark.createDataFrame([(["x"],)], "tokens array<string>")).count() == 0
     like = models.subword_vectors(words, spark.createDataFrame([("a1",), ("sailing",), ("sailings",), ("quartz",)], "token string"), 64)
     v = {r["token"]: np.array(r["vector"]) for r in like.collect()}
-    assert len(v["a1"]) == 10 and cosine(v["sailing"], v["sailings"]) > cosine(v["sailing"], v["quartz"])
+    assert len(v["a1"]) == 10 and len(v["quartz"]) == 64 and v["sailing"] @ v["quartz"] < 0.5 * (v["quartz"] @ v["quartz"]) and cosine(v["sailing"], v["sailings"]) > cosine(v["sailing"], v["quartz"])
 
 
 @pytest.mark.parametrize("kind", ["linear", "logistic", "forest"])
