@@ -76,10 +76,11 @@ def delete_where(df: DataFrame, where: Column, blank: Iterable[str] = ()) -> Dat
 
 
 def unwrap_addresses(df: DataFrame, plain: Column, url: str = "url") -> DataFrame:
-    """Archive addresses replaced by the page's own, unless the page is there already; the first by address wins."""
+    """Archive addresses replaced by the page's own, unless the page is there already; the first by address wins, of equals that of the least values, column by column."""
     marked = df.withColumn("__to", plain)
     direct = marked.where(F.col("__to") == F.col(url))
-    first = Window.partitionBy("__to").orderBy(url)
+    rest = [F.col(f"`{f.name}`") for f in df.schema.fields if f.name != url and not isinstance(f.dataType, T.MapType | T.VariantType)]
+    first = Window.partitionBy("__to").orderBy(url, *rest)
     wrapped = marked.where(F.col("__to") != F.col(url)).join(direct.select("__to"), "__to", "left_anti").withColumn("__n", F.row_number().over(first)).where("__n = 1")
     return direct.select(*df.columns).unionByName(wrapped.select(*[(F.col("__to") if c == url else F.col(c)).alias(c) for c in df.columns]))
 
