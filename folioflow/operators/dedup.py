@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.urls import canonical_url, domain_of, unwrap_archive
+from folioflow.operators.graph import components, written
 
 
 def prepare(pages: DataFrame, key: str, keep_params: bool = False) -> DataFrame:
@@ -76,13 +77,18 @@ def similarity(a: str, b: str, least: float) -> float:
 
 
 def numbered(df: DataFrame, *by: Column, name: str = "place") -> DataFrame:
-    """Rows numbered from 0 in a total order, by a range partitioning and the sizes of its parts."""
-    part = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__part", F.spark_partition_id())
-    within = part.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*by)))
+    """Rows numbered from 0 in a total order, by a range partitioning and the sizes of its parts.
+
+    Rows and sizes are read from one written copy: were each to run the
+    exchange, they would get parts of their own. Keep the rows narrow.
+    """
+    # The upper bits are the part, the lower 33 the row within it.
+    placed = written(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     # One row for each partition: the window over them stays small.
-    sizes = within.groupBy("__part").agg(F.count("*").alias("__size")).withColumn("__first", F.coalesce(F.sum("__size").over(before), F.lit(0)))
-    return within.join(F.broadcast(sizes.select("__part", "__first")), "__part").withColumn(name, F.col("__first") + F.col("__row") - 1).drop("__part", "__row", "__first")
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__size")).withColumn("__first", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    return placed.withColumn("__part", part).join(F.broadcast(sizes.select("__part", "__first")), "__part").withColumn(name, F.col("__first") + row).drop("__part", "__at", "__first")
 
 
 def window_pairs(texts: DataFrame, key: str, distance: int, threshold: float) -> DataFrame:
@@ -139,8 +145,6 @@ def drop_near_copies(pages: DataFrame, key: str, text: str = "parsed", url: str
     needs only the similar pairs, and groups meet only through them, so it
     runs by connected component.
     """
-    from folioflow.operators.graph import components
-
     if threshold >= 1:
         return pages
     named = numbered(pages.where(F.coalesce(F.length(text), F.lit(0)) > 0).select(key, url, F.col(text).alias("text"), "category", "datetime", "crawled", "length"), F.col(url), F.col(key))

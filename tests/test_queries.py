@@ -118,3 +118,27 @@ def test_upsert_with_missing_columns(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
     got = tables.upsert(old, spark.createDataFrame([(2,), (3,)], "k long"), "k").collect()
     assert sorted(map(tuple, got), key=str) == [(1, "a"), (2, None), (3, None)]
+
+
+def test_archived_twins_go_by_their_least_id(spark):
+    rows = [(i, "w/a" if i % 2 else "w/b") for i in range(40, 0, -1)]
+    df = spark.createDataFrame(rows, "id long, url string").repartition(4)
+    got = tables.unwrap_addresses(df, F.replace("url", F.lit("w/"), F.lit("")))
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (2, "b")]
+
+
+def test_numbers_of_many_parts_are_whole(spark):
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in small if spark.conf.get(k, None)}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("url"))
+        # A second column, which the sizes don't need, makes the exchanges differ.
+        wide = df.select("url", F.concat(*[F.sha2(F.concat("url", F.lit(str(i))), 256) for i in range(8)]).alias("wide"))
+        got = [r[:2] for r in dedup.numbered(wide, F.col("url")).select("url", "place", "wide").collect()]
+    finally:
+        for k in small:
+            spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
+    assert sorted(p for _, p in got) == list(range(20_000))
+    assert [u for u, _ in sorted(got, key=lambda r: r[1])] == sorted(u for u, _ in got)
