@@ -58,22 +58,73 @@ def frequent_domains(prepared: DataFrame, least: int) -> DataFrame:
     return prepared.where("domain IS NOT NULL").join(counted, "domain", "left_semi").select(*prepared.columns).unionByName(prepared.where("domain IS NULL"))
 
 
+def _shared_start(a: str, b: str) -> int:
+    """How many characters both texts begin with."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if a[low:mid] == b[low:mid] else (low, mid - 1)
+    return low
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _masks(a: str, b: str) -> list[int]:
+    """For each character of ``b``, the places in ``a`` that have it, as bits."""
+    codes, places = _codes(a), {}
+    for c in set(b):
+        places[c] = int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little")
+    return [places[c] for c in b]
+
+
+def _scan(a: str, b: str, spare: int, stops: list[int], rest: int) -> int | None:
+    """The common subsequence of two texts, or null at the first of the stops (places in ``b``) that rules the pair out.
+
+    It is ruled out if each way through the row of a stop takes more than
+    ``spare`` insertions and deletions; ``rest`` is how much longer what
+    follows ``a`` is than what follows ``b``.
+    """
+    full, j = (1 << len(a)) - 1, 0
+    s, masks = full, _masks(a, b)
+    for stop in [*stops, len(b)]:
+        for m in masks[j:stop]:
+            u = s & m
+            s = ((s + u) | (s - u)) & full
+        j = stop
+        if stop in stops:
+            bits = np.unpackbits(np.frombuffer(s.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+            i, common = np.arange(len(a) + 1), np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+            if (i + j - 2 * common + np.abs((len(a) - i) - (len(b) - j) + rest)).min() > spare:
+                return None
+    return len(a) - s.bit_count()
+
+
 def similarity(a: str, b: str, least: float) -> float:
-    """2 * LCS / (both lengths), by a bit-parallel scan; 0 if the lengths alone rule out more than ``least``."""
+    """2 * LCS / (both lengths), by a bit-parallel scan; 0 if it turns out on the way that it isn't more than ``least``."""
     total = len(a) + len(b)
     if not total:
         return 1.0
     if 2 * min(len(a), len(b)) <= least * total:
         return 0.0
-    masks: dict[str, int] = {}
-    for i, c in enumerate(a):
-        masks[c] = masks.get(c, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    s = full
-    for c in b:
-        u = s & masks.get(c, 0)
-        s = ((s + u) | (s - u)) & full
-    return 2 * (len(a) - s.bit_count()) / total
+    same = _shared_start(a, b)
+    a, b = a[same:], b[same:]
+    end = _shared_start(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    same += end
+    if not a or not b:
+        return 2 * same / total
+    # So many insertions and deletions, or one more, may stand between texts that are alike enough.
+    spare = int(total - least * total) + 1
+    # Texts of the same language alone differ so much that a start of about the spare's length rules most pairs out.
+    start = 2 * spare + 16
+    if 2 * start < len(b):
+        head = a[: start + spare]
+        if _scan(head, b[:start], spare, [start * 5 // 8, start], len(a) - len(head) - (len(b) - start)) is None:
+            return 0.0
+    common = _scan(a, b, spare, [len(b) // 4, len(b) // 2, 3 * len(b) // 4] if len(b) > 256 else [], 0)
+    return 0.0 if common is None else 2 * (same + common) / total
 
 
 def numbered(df: DataFrame, *by: Column, name: str = "place") -> DataFrame:
@@ -106,12 +157,12 @@ def window_pairs(texts: DataFrame, key: str, distance: int, threshold: float) ->
         keys, places, bodies = pdf[key].to_numpy(), pdf["place"].to_numpy(), pdf["text"].tolist()
         home, out = int(pdf["stretch"].iloc[0]), []
         sizes = np.array([len(t) for t in bodies])
+        # No more can be common than what both have of each character (by its last 8 bits).
+        held = np.stack([np.bincount(_codes(t) & 255, minlength=256) for t in bodies])
         for i in np.nonzero(places // distance == home)[0]:
-            for j in range(i + 1, len(places)):
-                if places[j] - places[i] >= distance:
-                    break
-                if 2 * min(sizes[i], sizes[j]) <= threshold * (sizes[i] + sizes[j]):
-                    continue
+            ahead = np.arange(i + 1, np.searchsorted(places, places[i] + distance))
+            ahead = ahead[2 * np.minimum(sizes[i], sizes[ahead]) > threshold * (sizes[i] + sizes[ahead])]
+            for j in ahead[2 * np.minimum(held[i], held[ahead]).sum(axis=1) / (sizes[i] + sizes[ahead]) > threshold]:
                 ratio = similarity(bodies[i], bodies[j], threshold)
                 if ratio > threshold:
                     out.append((keys[i], keys[j], int(places[i]), int(places[j]), ratio))
@@ -147,9 +198,11 @@ def drop_near_copies(pages: DataFrame, key: str, text: str = "parsed", url: str
     """
     if threshold >= 1:
         return pages
-    named = numbered(pages.where(F.coalesce(F.length(text), F.lit(0)) > 0).select(key, url, F.col(text).alias("text"), "category", "datetime", "crawled", "length"), F.col(url), F.col(key))
-    pairs = window_pairs(named.select(key, "place", "text"), key, distance, threshold)
-    edges = pairs.select(F.col("place_a").alias("a"), F.col("place_b").alias("b"))
+    some = pages.where(F.coalesce(F.length(text), F.lit(0)) > 0)
+    named = numbered(some.select(key, url, "category", "datetime", "crawled", "length"), F.col(url), F.col(key))
+    pairs = window_pairs(named.select(key, "place").join(some.select(key, F.col(text).alias("text")), key), key, distance, threshold)
+    # Written, since the components and the scan both read them.
+    edges = written(pairs.select(F.col("place_a").alias("a"), F.col("place_b").alias("b")))
     rank = F.struct(
         (~F.coalesce(F.col("category") == "external", F.lit(False))).alias("own"),
         F.coalesce(F.unix_micros("datetime"), F.lit(-(1 << 62))).alias("datetime"),
@@ -185,6 +238,8 @@ def deduplicate(pages: DataFrame, key: str, threshold: float = 0.9, distance: in
     """All phases: addresses, contents, near copies (if the threshold is under 1), rare domains, rebuild."""
     winners = elect_by_content(elect_by_url(prepare(pages, key, keep_params), key), key)
     if threshold < 1:
+        # Written: near copies read the winners several times.
+        winners = written(winners)
         kept = drop_near_copies(winners.join(pages.select(key, "parsed"), key), key, threshold=threshold, distance=distance)
         winners = kept.select(*winners.columns)
     if least > 0:

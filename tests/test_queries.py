@@ -86,6 +86,35 @@ def test_similarity_is_that_of_the_longest_common_subsequence():
     assert dedup.similarity("", "", 0) == 1 and dedup.similarity("a", "a" * 50, 0.9) == 0
 
 
+def test_similarity_gives_up_early_but_never_wrongly():
+    rng = random.Random(3)
+
+    def plain_ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], last + 1 if x == y else max(row[j], row[j + 1])
+        return 2 * row[-1] / max(1, len(a) + len(b))
+
+    for k in range(150):
+        a = "".join(rng.choice("abcdé") for _ in range(rng.randrange(1, 400)))
+        b = "".join(c for c in a if rng.random() > 0.1 * (k % 5)) + "z" * rng.randrange(20)
+        b = b if k % 3 else "".join(x for c in b for x in (c, rng.choice("abq"))[: 1 + (rng.random() < 0.15)])
+        want = plain_ratio(a, b)
+        for least in (0.0, 0.5, 0.9, want - 1e-9, want):
+            got = dedup.similarity(a, b, least)
+            assert got == want if want > least else got in (0, want)
+
+
+def test_texts_of_one_language_are_told_apart_at_once(monkeypatch):
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("etaoin shrdlu") for _ in range(4000)) for _ in "ab")
+    steps, plain = [], dedup._masks
+    monkeypatch.setattr(dedup, "_masks", lambda x, y: steps.append(len(y)) or plain(x, y))
+    assert dedup.similarity(a, b, 0.9) == 0 and sum(steps) < 2000
+
+
 def test_components_of_a_chain_and_of_nothing(spark):
     edges = spark.createDataFrame([(3, 2), (2, 1), (9, 8), (5, 5)], "a long, b long")
     assert {(r["node"], r["root"]) for r in graph.components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8)}
