@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioflow.functions.tokens import members_of, singular
+from folioflow.operators.graph import written
 
 #: N-grams that are broadcast at most; more are found by joins.
 BROADCAST = 1_000_000
@@ -27,16 +30,48 @@ def _phrases(words: Column, connectors: Sequence[str] = ()) -> Column:
     return F.transform(pairs, lambda p: F.struct(p["a"]["x"].alias("a"), p["b"]["x"].alias("b"), F.array_join(F.slice(words, p["a"]["i"] + 1, p["b"]["i"] - p["a"]["i"] + 1), "_").alias("phrase")))
 
 
+def _counted(sentences: DataFrame, column: str) -> DataFrame:
+    """``pair``, ``a``, ``b``, ``phrase``, ``n``: how often tokens (``pair`` false, in ``a``) and neighbours occur, added up by Arrow batch."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0).drop_null()
+            flat = lists.flatten()
+            if not len(flat):
+                continue
+            coded = flat.dictionary_encode()
+            words, ids = coded.dictionary, np.asarray(coded.indices.fill_null(-1)).astype(np.int64)
+            row = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists)))
+            near = (row[1:] == row[:-1]) & (ids[1:] >= 0) & (ids[:-1] >= 0)
+            pairs, n = np.unique(ids[:-1][near] * len(words) + ids[1:][near], return_counts=True)
+            left, right = words.take(pa.array(pairs // max(len(words), 1))), words.take(pa.array(pairs % max(len(words), 1)))
+            none = pa.nulls(len(pairs), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(pairs), bool)), left.cast(pa.string()), right.cast(pa.string()), none, pa.array(n)], names=["pair", "a", "b", "phrase", "n"])
+            single = np.bincount(ids + 1, minlength=len(words) + 1)
+            names = pa.concat_arrays([pa.nulls(1, words.type), words]).cast(pa.string())
+            none = pa.nulls(len(single), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(single), bool)), names, none, none, pa.array(single)], names=["pair", "a", "b", "phrase", "n"])
+
+    return sentences.select(column).mapInArrow(run, "pair boolean, a string, b string, phrase string, n bigint")
+
+
 def score_bigrams(sentences: DataFrame, column: str = "tokens", min_count: int = 10, connectors: Sequence[str] = ()) -> DataFrame:
     """``phrase``, ``n``, ``npmi`` of all neighbours that occur often enough.
 
     ``npmi = ln(p(ab) / (p(a) p(b))) / -ln p(ab)`` over the number of tokens.
-    One exchange of counted tokens and one of counted pairs: both counts are
-    made ahead of the exchange.
+    The sentences are read once (twice with connectors): tokens and
+    neighbours are counted by batch ahead of one exchange, and what occurs
+    often enough is written for the joins.
     """
-    w = sentences.select(F.col(column).alias("w"))
-    two = w.select(F.explode(_phrases(F.col("w"), connectors)).alias("p")).groupBy("p.a", "p.b", "p.phrase").agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
-    one = w.select(F.explode("w").alias("token")).groupBy("token").agg(F.count("*").alias("m"))
+    counts = _counted(sentences, column)
+    if connectors:
+        w = sentences.select(F.col(column).alias("w"))
+        told = w.select(F.explode(_phrases(F.col("w"), connectors)).alias("p")).groupBy("p.a", "p.b", "p.phrase").agg(F.count("*").alias("n"))
+        counts = counts.where("NOT pair").unionByName(told.withColumn("pair", F.lit(True)))
+    summed = counts.groupBy("pair", "a", "b", "phrase").agg(F.sum("n").alias("n"))
+    kept = written(summed.where(~F.col("pair") | (F.col("n") >= min_count)))
+    two = kept.where("pair").select("a", "b", F.coalesce("phrase", F.concat_ws("_", "a", "b")).alias("phrase"), "n")
+    one = kept.where("NOT pair").select(F.col("a").alias("token"), F.col("n").alias("m"))
     total = F.broadcast(one.agg(F.sum("m").alias("total")))
     scored = two.join(one.toDF("a", "x"), "a").join(one.toDF("b", "y"), "b").join(total)
     share = F.col("n") / F.col("total")
@@ -64,6 +99,10 @@ def replaced(ngrams: dict[str, dict], words: list[str]) -> list[str]:
     """The words with the n-grams of a prefix tree merged from the left, the longest at each place."""
     out, i = [], 0
     while i < len(words):
+        if words[i] not in ngrams:
+            out.append(words[i])
+            i += 1
+            continue
         node, best = ngrams, i + 1
         for j in range(i, len(words)):
             node = node.get(words[j])

@@ -46,6 +46,25 @@ def test_ngrams_of_two_passes_equal_a_plain_count(spark):
     assert ngrams.lookup(tree, ["l'", "eau"]) is None and ngrams.lookup(ngrams.tree_of([["a", "b"]]), ["a", "b"]) == "a_b" and ngrams.lookup(tree, ["foo"]) is None
 
 
+def test_bigrams_are_counted_in_one_reading(spark):
+    rng = random.Random(9)
+    sentences = [[rng.choice("abcde") for _ in range(rng.randrange(7))] for _ in range(200)] + [["x", "y"]] * 12
+    read = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("array<string>")
+    def seen(words):
+        read.add(len(words))
+        return words
+
+    df = spark.createDataFrame([(s,) for s in sentences] + [(None,), (["x", None, "y"],)], "tokens array<string>").select(seen("tokens").alias("tokens"))
+    got = {tuple(r["phrase"].split("_")): r["n"] for r in ngrams.score_bigrams(df).where("npmi > 0.7").collect()}
+    assert got == {("x", "y"): 12} and read.value == len(sentences) + 2
+    one = Counter(w for s in sentences for w in s)
+    score = ngrams.score_bigrams(df).where("phrase = 'x_y'").first()["npmi"]
+    total = sum(one.values()) + 3
+    assert math.isclose(score, math.log(12 / total / (13 / total) ** 2) / -math.log(12 / total))
+
+
 def test_ngrams_merge_alike_in_both_ways(spark):
     rng = random.Random(6)
     grams = spark.createDataFrame([(["a", "b"],), (["a", "b", "c"],), (["c", "a"],), (["l'", "a"],), (["x"],)], "members array<string>")
