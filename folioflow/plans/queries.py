@@ -356,7 +356,8 @@ def bm25_scores(spark, sf_dir):
 @query(f"WITH {_BM25} SELECT item_id, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 6) DESC, doc_id DESC) AS k FROM s) WHERE k <= 10")
 def bm25_top(spark, sf_dir):
     """Ten best documents of every query by words."""
-    return retrieval.top(bm25_scores(spark, sf_dir), "item_id", [F.desc("score"), F.desc("doc_id")], 10)
+    scored = retrieval.bm25(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), best=10).withColumn("score", F.round("score", 6))
+    return retrieval.top(scored, "item_id", [F.desc("score"), F.desc("doc_id")], 10)
 
 
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))"
