@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import binascii
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,6 +21,11 @@ _NUMBER = r"^[+-]?[0-9]+(?:[.,][0-9]+)*$"
 _HASH = r"^[0-9a-f]{6,}$"
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def normalize_token(token: Column, language: Column | None = None, normalize: bool = True, meta: bool = True, stemmed: bool = True, stop: bool = True, replacements: dict[str, str] | None = None) -> Column:
     """A token in the form that indexes hold; null where nothing is left of it.
 
@@ -33,21 +39,27 @@ def normalize_token(token: Column, language: Column | None = None, normalize: bo
     if replacements:
         table = F.create_map(*[F.lit(x) for pair in sorted(replacements.items()) for x in pair])
         word = F.coalesce(F.try_element_at(table, word), word)
-    known = F.upper(word).isin(*META_TOKENS)
-    gram = word.rlike("^.+_.+$") & ~known
-    bare = F.when(gram, word).otherwise(F.regexp_replace(word, "^_+|_+$", ""))
-    whole = F.when((bare == "") | bare.rlike(r"\s"), None).otherwise(bare)
-    atom = F.when(~gram & whole.rlike(_NUMBER), "_NUMBER_").when(~gram & whole.rlike(_HASH) & whole.rlike("[0-9]") & whole.rlike("[a-f]"), "_HASH_") if meta else F.lit(None).cast("string")
-    out = whole
-    if stop:
-        every = sorted({w for words in STOPWORDS.values() for w in words})
-        stops = F.lit(False)
-        for code, words in sorted(STOPWORDS.items()):
-            stops = stops | ((language == code) & whole.isin(*words)) if language is not None else stops
-        out = F.when(F.coalesce(stops if language is not None else F.lit(False), F.lit(False)) | ((language.isNull() if language is not None else F.lit(True)) & whole.isin(*every)), None).otherwise(out)
-    if stemmed:
-        out = F.nullif(stem(F.replace(out, F.lit("_"), F.lit(""))), F.lit(""))
-    return F.when(known, F.upper(word)).otherwise(F.coalesce(atom, out))
+    read = _let(word, lambda w: F.struct(w.alias("word"), F.upper(w).isin(*META_TOKENS).alias("known"), (w.rlike("^.+_.+$") & ~F.upper(w).isin(*META_TOKENS)).alias("gram")))
+
+    def finished(whole: Column, gram: Column) -> Column:
+        atom = F.when(~gram & whole.rlike(_NUMBER), "_NUMBER_").when(~gram & whole.rlike(_HASH) & whole.rlike("[0-9]") & whole.rlike("[a-f]"), "_HASH_") if meta else F.lit(None).cast("string")
+        out = whole
+        if stop:
+            every = sorted({w for words in STOPWORDS.values() for w in words})
+            stops = F.lit(False)
+            for code, words in sorted(STOPWORDS.items()):
+                stops = stops | ((language == code) & whole.isin(*words)) if language is not None else stops
+            out = F.when(F.coalesce(stops if language is not None else F.lit(False), F.lit(False)) | ((language.isNull() if language is not None else F.lit(True)) & whole.isin(*every)), None).otherwise(out)
+        if stemmed:
+            out = F.nullif(stem(F.replace(out, F.lit("_"), F.lit(""))), F.lit(""))
+        return F.coalesce(atom, out)
+
+    def kept(r: Column) -> Column:
+        bare = F.when(r["gram"], r["word"]).otherwise(F.regexp_replace(r["word"], "^_+|_+$", ""))
+        whole = _let(bare, lambda x: F.when((x == "") | x.rlike(r"\s"), None).otherwise(x))
+        return F.when(r["known"], F.upper(r["word"])).otherwise(_let(whole, lambda x: finished(x, r["gram"])))
+
+    return _let(read, kept)
 
 
 def pieces(text: Column) -> Column:

@@ -212,3 +212,9 @@ def test_files_of_mail_and_contacts(spark, tmp_path):
     (tmp_path / "c.vcf").write_text("BEGIN:VCARD\nUID:1\nFN:Ann Lee\nEMAIL;TYPE=home:Ann@a.org\nEMAIL:b@b.org\nCATEGORIES:x,y\nNOTE:long\n  line\nEND:VCARD\nBEGIN:VCARD\nFN:No Mail\nEND:VCARD\n")
     cards = spark.read.format("contacts").load(str(tmp_path / "c.vcf")).orderBy("name").collect()
     assert [(c["name"], c["emails"]) for c in cards] == [("Ann Lee", ["ann@a.org", "b@b.org"]), ("No Mail", [])] and cards[0]["properties"]["categories"] == ["x", "y"] and cards[0]["properties"]["note"] == ["long line"]
+
+
+def test_a_token_is_read_by_each_pattern_once(spark):
+    one = spark.createDataFrame([("x",)], "t string").select(K.normalize_token(F.col("t"), stemmed=False, stop=False).alias("n"))
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("^[+-]?[0-9]+") == 1 and plan.count("^_+|_+$") == 1 and plan.count("^.+_.+$") == 1
