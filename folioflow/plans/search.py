@@ -24,7 +24,7 @@ def word_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = query_tokens(spark, sf_dir).select("token").distinct().withColumn("n", F.row_number().over(Window.orderBy("token")) - 1)
     named = numbered.join(F.broadcast(e.agg(F.count("*").alias("c")))).select("token", F.pmod("n", F.col("c")).alias("vec_id"))
     docs = read(spark, sf_dir, "documents")
-    df = docs.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token")).join(named.select("token"), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    df = docs.select(F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token")).join(F.broadcast(named.select("token")), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     total = docs.agg(F.count("*").alias("docs"))
     return named.join(e.select("vec_id", F.col("embedding").alias("vector")), "vec_id").join(df, "token", "left").join(F.broadcast(total)).select("token", "vector", "df", "docs")
 

@@ -256,3 +256,8 @@ def test_near_pairs_equal_all_pairs(spark):
             ratio = 2 * lcs[-1][-1] / (len(a) + len(b))
             got = dedup.similarity(a, b, 0.8)
             assert got == pytest.approx(ratio) or (got == 0 and ratio <= 0.8)
+
+
+def test_scored_rows_are_not_joined_with_vectors(spark):
+    plan = search.rank_fusion(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan[: plan.index("MapInArrow")]
