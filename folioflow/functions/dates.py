@@ -41,13 +41,20 @@ def _month(name: Column) -> Column:
     return F.coalesce(F.try_element_at(numbers, F.lower(name)), name)
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """The day of three numbers, counted from the epoch; null if there is no such day. Nothing is thrown and caught."""
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    last = F.when(month.isin(4, 6, 9, 11), 30).when(month == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+    return F.when((year >= 0) & month.between(1, 12) & (day >= 1) & (day <= last), F.unix_date(F.make_date(year, month, day)))
+
+
 def _instant(year: Column, month: Column, day: Column, hour: Column | None = None, minute: Column | None = None, second: Column | None = None, half: Column | None = None, zone: Column | None = None) -> Column:
     """The instant of the parts, which are texts and may be empty; null if there is no such date."""
     blank = lambda c, by: F.coalesce(F.nullif(c, F.lit("")), F.lit(by)) if c is not None else F.lit(by)
     h = blank(hour, "0").cast("int")
     if half is not None:
         h = F.when(F.lower(half) == "pm", h % 12 + 12).when(F.lower(half) == "am", h % 12).otherwise(h)
-    local = F.try_to_timestamp(F.concat_ws("-", year, blank(month, "1"), blank(day, "1")), F.lit("y-M-d"))
+    local = _day(year.try_cast("int"), blank(month, "1").try_cast("int"), blank(day, "1").try_cast("int"))
     named = F.create_map(*[F.lit(x) for k, v in ZONES.items() for x in (k, v * 60)])
     sign = F.when(zone.startswith("-"), -1).otherwise(1) if zone is not None else F.lit(1)
     digits = F.regexp_replace(zone, r"\D", "") if zone is not None else F.lit("")
@@ -55,7 +62,7 @@ def _instant(year: Column, month: Column, day: Column, hour: Column | None = Non
     offset = F.when(F.length(digits) == 4, given).otherwise(F.coalesce(F.try_element_at(named, F.lower(zone)), F.lit(0))) if zone is not None else F.lit(0)
     seconds = h * 3600 + blank(minute, "0").cast("int") * 60 + blank(second, "0").cast("int") - offset * 60
     ok = (h < 24) & (blank(minute, "0").cast("int") < 60) & (blank(second, "0").cast("int") < 61)
-    return F.when(ok, F.timestamp_seconds(F.unix_seconds(local) + seconds))
+    return F.when(ok, F.timestamp_seconds(local.cast("bigint") * 86400 + seconds))
 
 
 def human_date(text: Column) -> Column:
@@ -86,6 +93,19 @@ def _fuzzy(text: pd.Series) -> pd.Series:
     return pd.to_datetime(text.map(one, na_action="ignore"), utc=True)
 
 
+def _named(text: Column, pattern: str, groups: tuple[int, ...]) -> Column:
+    """The instant of the first place that a pattern finds, by its groups of year to zone (0 for none); null without one.
+
+    All groups come from one search: the text becomes them, behind a mark
+    that the text itself can't have. Both are bound to names by functions over
+    lists of one, so neither is worked out again for each part.
+    """
+    wanted = "\x01".join(f"${g}" if g else "" for g in groups)
+    found = F.regexp_replace(F.translate(text, "\x01", "\x02"), rf"(?s)^.*?{pattern}.*$", "\x01" + wanted)
+    parts = F.filter(F.transform(F.array(found), lambda x: F.when(x.startswith("\x01"), F.split(x, "\x01"))), lambda x: x.isNotNull())
+    return F.try_element_at(F.transform(parts, lambda x: _instant(x[1], _month(x[2]), *[x[i] for i in range(3, 9)])), F.lit(1))
+
+
 def guess_date(text: Column, fuzzy: bool = False) -> Column:
     """The instant that a text names in one of the usual forms; null if none does.
 
@@ -95,18 +115,15 @@ def guess_date(text: Column, fuzzy: bool = False) -> Column:
     order. With ``fuzzy``, texts that none of them reads go through a general
     parser, in Arrow batches.
     """
-    names = ("year", "month", "day", "hour", "minute", "second", "half", "zone")
-    read = lambda source, pattern, groups: F.struct(*[(F.regexp_extract(source, pattern, g) if g else F.lit("")).alias(n) for n, g in zip(names, groups, strict=True)])
     pdf = pdf_date(text)
     # Eight digits or more: a year alone is no date, unless it is marked as a PDF's.
     marked = text.rlike(r"^D:\d{4}") | text.rlike(r"^\d{8}(\d{6})?\s*(Z|[+-]\d{2}.?\d{2}|$)")
-    forms = [read(F.when(marked, pdf).otherwise(""), _PDF, (1, 2, 3, 4, 5, 6, 0, 7))]
-    forms += [read(text, pattern, (y, m, d, 4, 5, 6, 7, 8)) for pattern, (y, m, d) in _FORMS]
-    us = [read(text, _US, (3, 1, 2, 4, 5, 6, 7, 8)), read(text, _US, (3, 2, 1, 4, 5, 6, 7, 8))]
-    # The parts of all forms, then one expression that makes an instant of each: the generated code stays small.
-    parts = F.filter(F.array(*forms, *us), lambda x: x["year"] != "")
-    made = F.transform(parts, lambda x: _instant(x["year"], _month(x["month"]), x["day"], x["hour"], x["minute"], x["second"], x["half"], x["zone"]))
-    out = F.try_element_at(F.filter(made, lambda x: x.isNotNull()), F.lit(1))
+    # A form is read only where those before it give no date.
+    out = F.coalesce(
+        F.when(marked, _named(pdf, _PDF, (1, 2, 3, 4, 5, 6, 0, 7))),
+        *[_named(text, pattern, (y, m, d, 4, 5, 6, 7, 8)) for pattern, (y, m, d) in _FORMS],
+        *[_named(text, _US, (y, m, d, 4, 5, 6, 7, 8)) for y, m, d in ((3, 1, 2), (3, 2, 1))],
+    )
     if fuzzy:
         out = F.coalesce(out, F.when(text.rlike(r"\d"), _fuzzy(text)))
     return F.coalesce(out, human_date(text))

@@ -53,6 +53,15 @@ def test_guessed_dates(spark, text, want):
     assert got == (int(want.timestamp()) if want else None)
 
 
+def test_each_form_of_a_date_is_searched_once(spark):
+    text = str(dates.guess_date(F.col("t")))
+    assert text.count("regexp_extract") + text.count("regexp_replace(translate") < 30
+    # A text that has the mark between parts, a year 0, days that the month lacks.
+    texts = ["\x01on 2024-02-29 10:30", "\x0112\x012024\x01", "0000-1-15", "2023-02-29", "2/30/2023", "1900-02-29"]
+    want = ["2024-02-29 10:30:00", None, "0000-01-15 00:00:00", None, None, None]
+    assert column(spark, texts, lambda x: dates.guess_date(x).cast("string")) == want
+
+
 def test_other_dates(spark):
     assert column(spark, ["x 11 Oct 2017 y", "40 Oct 2017", "11 Foo 2017"], lambda x: dates.human_date(x).cast("string")) == ["2017-10-11 00:00:00", None, None]
     assert column(spark, ["2024-05-01", "2024-05-01T10:00:00+02:00", "1 May"], lambda x: dates.iso_date(x).cast("string")) == ["2024-05-01 00:00:00", "2024-05-01 08:00:00", None]
