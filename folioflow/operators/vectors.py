@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.operators.retrieval import dot, unit
+from folioflow.operators.retrieval import cosines, first, unit
 
 #: Smoothing of word weights: of single words, and within centroids.
 SMOOTH, SMOOTH_CENTROID = 5e-3, 1e-3
 #: Bytes of a matrix that is broadcast at most.
 MATRIX_BYTES = 64_000_000
+#: Rows that are multiplied with a matrix at a time.
+PART = 2048
 
 
 def word_weight(df: Column, docs: Column, smooth: float = SMOOTH) -> Column:
@@ -140,16 +142,53 @@ def gated(queries: DataFrame, query: str, centroids: DataFrame, coverage: float
     return placed.where((F.col("__held") < max(1, int(coverage * total))) | (F.col("__place") < least)).select(query, "label")
 
 
-def cosine_rank(docs: DataFrame, key: str, queries: DataFrame, query: str, gate: DataFrame | None = None) -> DataFrame:
+def cosine_rank(docs: DataFrame, key: str, queries: DataFrame, query: str, gate: DataFrame | None = None, best: int | None = None) -> DataFrame:
     """Query, key and ``score`` of documents by the product of their unit vectors with the query's.
 
     ``docs`` has the key, ``label`` and ``vector``. With ``gate`` (query,
-    label) only documents of those clusters have a score.
+    label) only documents of those clusters have a score. With ``best``,
+    scores are rounded to 6 digits and of each batch only so many come out
+    for each query, of equals those of larger keys: a bounded number of rows
+    for each batch goes on to a ranking.
     """
-    wanted = queries.select(query, F.col("vector").alias("__q"))
-    wanted = wanted.join(gate, query) if gate is not None else wanted.join(docs.select("label").distinct())
-    both = docs.select(key, "label", unit(F.col("vector")).alias("__u")).join(wanted, "label")
-    return both.select(query, key, F.nanvl(dot(F.col("__u"), F.col("__q")), F.lit(0.0)).alias("score"))
+    kinds = queries.schema[query].dataType, docs.schema[key].dataType
+    schema = T.StructType([T.StructField(query, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())])
+    kind, out = to_arrow_type(kinds[0]), None
+    allowed: dict = {}
+    for q, label in gate.select(query, "label").toLocalIterator() if gate is not None else ():
+        allowed.setdefault(q, []).append(label)
+    for names, values in _slices_of(queries, query, "vector"):
+        shared = docs.sparkSession.sparkContext.broadcast((names, values, None if gate is None else [allowed.get(q, []) for q in names]))
+
+        def run(batches, shared=shared):
+            names, values, labels = shared.value
+            of, by = pa.array(names, kind), {}
+            for q, some in enumerate(labels or ()):
+                for label in some:
+                    by.setdefault(label, []).append(q)
+            every = np.arange(len(names))
+            for batch in batches:
+                at = np.asarray(batch.column(1).to_pandas()) if labels is not None else None
+                groups = [(np.flatnonzero(at == label), np.array(qs)) for label, qs in by.items()] if labels is not None else [(np.flatnonzero(np.asarray(pa.compute.is_valid(batch.column(1)))), every)]
+                kept: list = []
+                for rows, qs in groups:
+                    for some in (rows[k : k + PART] for k in range(0, len(rows), PART)):
+                        mine = batch.column(2).take(pa.array(some))
+                        score = cosines(mine, values[qs])
+                        # What has no product has no score, and stands last.
+                        score[~np.asarray(pa.compute.equal(pa.compute.list_value_length(mine), values.shape[1]).fill_null(False))] = -np.inf
+                        if best is None:
+                            i, j = np.nonzero(np.ones_like(score, bool))
+                        else:
+                            keys, score = np.argsort(np.argsort(np.asarray(batch.column(0)), kind="stable"))[some], np.round(score, 6)
+                            i, j = np.nonzero(first(np.ones_like(score, bool), score, keys, best))
+                        kept.append((qs[j], some[i], score[i, j]))
+                for j, i, score in kept:
+                    yield pa.RecordBatch.from_arrays([of.take(pa.array(j)), batch.column(0).take(pa.array(i)), pa.array(score, mask=np.isneginf(score))], names=schema.names)
+
+        part = docs.select(key, "label", "vector").mapInArrow(run, schema)
+        out = part if out is None else out.unionAll(part)
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def related(words: DataFrame, asked: DataFrame, by: str, n: int = 15, k: int = 5) -> DataFrame:

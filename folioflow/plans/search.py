@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.operators import index, ngrams, retrieval, vectors
+from folioflow.operators.graph import written
 from folioflow.plans.queries import _BM25, _CENTRE, _DOT, _TOK
 from folioflow.plans.registered import query
 from folioflow.sources.pages import SQL_PAGES, documents_as_pages, read
@@ -79,8 +80,9 @@ def cluster_gate(spark, sf_dir):
 @query(f"WITH {_GATE}, s AS (SELECT item_id, doc_id, round({_DOT.format('u', 'd')}, 6) AS score FROM dv JOIN gate USING (label) JOIN dirs USING (item_id)) SELECT item_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) AS k FROM s) WHERE k <= 10")
 def cosine_rank(spark, sf_dir):
     """The ten best documents of every query by weighted cosine, within the nearest clusters."""
-    directions = vectors.query_directions(query_tokens(spark, sf_dir), word_table(spark, sf_dir), "item_id")
-    scored = vectors.cosine_rank(document_vectors(spark, sf_dir), "doc_id", directions, "item_id", _gate(spark, sf_dir, directions)).withColumn("score", F.round("score", 6))
+    # A row for each query; else the documents' words are counted for the gate and for the ranking.
+    directions = written(vectors.query_directions(query_tokens(spark, sf_dir), word_table(spark, sf_dir), "item_id"))
+    scored = vectors.cosine_rank(document_vectors(spark, sf_dir), "doc_id", directions, "item_id", _gate(spark, sf_dir, directions), best=10)
     return retrieval.top(scored, "item_id", [F.desc("score"), F.desc("doc_id")], 10)
 
 

@@ -273,3 +273,13 @@ def test_the_best_are_ranked_as_among_all(spark):
     first = lambda df: sorted(map(tuple, retrieval.top(df.withColumn("score", F.round("score", 9)), "item_id", [F.desc("score"), F.desc("doc_id")], 4).collect()))
     best = index.fused(docs, vectors, queries, directions, best=4)
     assert first(best) == first(index.fused(docs, vectors, queries, directions)) and best.count() <= 3 * 2 * index.reach(4)
+
+
+def test_best_cosines_come_from_each_batch(spark):
+    docs = spark.createDataFrame([(i, i % 3, [float(i % 5), 1.0] if i % 11 else None) for i in range(400)], "doc_id long, label long, vector array<double>").coalesce(1)
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [-1.0, 1.0])], "item_id long, vector array<double>")
+    gate = spark.createDataFrame([(0, 0), (0, 2), (1, 1)], "item_id long, label long")
+    best = vectors.cosine_rank(docs, "doc_id", queries, "item_id", gate, best=3)
+    every = vectors.cosine_rank(docs, "doc_id", queries, "item_id", gate).withColumn("score", F.round("score", 6))
+    of = lambda df: sorted(map(tuple, retrieval.top(df, "item_id", [F.desc("score"), F.desc("doc_id")], 3).collect()))
+    assert of(best) == of(every) and best.count() <= 3 * 3 < every.count() == 400
