@@ -16,6 +16,8 @@ from folioflow.operators.graph import written
 
 #: N-grams that are broadcast at most; more are found by joins.
 BROADCAST = 1_000_000
+#: Rows whose tokens are numbered at a time.
+PART = 1024
 #: Words that an apostrophe makes look like a beginning.
 NO_START = ("l'", "d'")
 
@@ -197,8 +199,30 @@ def resolve_tokens(tokens: DataFrame, vocabulary: DataFrame, min_ratio: float =
     return own.select("token", F.when(F.coalesce("own", F.lit(0)) * F.lit(min_ratio) <= F.col("best.n"), F.col("best.spelling")).otherwise(F.col("token")).alias("resolved"))
 
 
-def token_ids(df: DataFrame, vocabulary: DataFrame, key: str, column: str = "tokens") -> DataFrame:
-    """Key and ``ids``: the numbers of the tokens in the vocabulary (``token``, ``id``), in order, unknown ones left out."""
-    rows = df.select(key, F.posexplode_outer(column).alias("at", "token"))
-    placed = rows.join(vocabulary, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).alias("found"))
-    return placed.select(key, F.transform("found", lambda x: x["id"]).alias("ids"))
+def token_ids(df: DataFrame, vocabulary: DataFrame, key: str, column: str = "tokens", bound: int = BROADCAST) -> DataFrame:
+    """Key and ``ids``: the numbers of the tokens in the vocabulary (``token``, ``id``), in order, unknown ones left out.
+
+    Up to ``bound`` tokens are broadcast, and each batch is numbered where it
+    is read; more are joined. Both ways give the same, an empty list for null.
+    """
+    known = vocabulary.select("token", F.col("id").cast("bigint").alias("id")).where("token IS NOT NULL AND id IS NOT NULL").limit(bound + 1).collect()
+    if len(known) > bound:
+        rows = df.select(key, F.posexplode_outer(column).alias("at", "token"))
+        placed = rows.join(vocabulary, "token", "left").groupBy(key).agg(F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id")))).alias("found"))
+        return placed.select(key, F.transform("found", lambda x: x["id"]).alias("ids"))
+    shared = df.sparkSession.sparkContext.broadcast((pa.array([r[0] for r in known], pa.string()), np.array([r[1] for r in known], np.int64)))
+
+    def run(batches):
+        words, numbers = shared.value
+        for batch in batches:
+            for start in range(0, batch.num_rows, PART):
+                part = batch.slice(start, PART)
+                sizes = np.asarray(pa.compute.list_value_length(part.column(1)).fill_null(0)).astype(np.int64)
+                at = pa.compute.index_in(part.column(1).flatten(), value_set=words)
+                hit = np.asarray(pa.compute.is_valid(at))
+                ends = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(sizes)])]
+                ids = numbers[np.asarray(at.drop_null()).astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int64()))], names=[key, "ids"])
+
+    schema = T.StructType([df.schema[key], T.StructField("ids", T.ArrayType(T.LongType()))])
+    return df.select(key, F.col(column).cast("array<string>")).mapInArrow(run, schema)

@@ -283,3 +283,12 @@ def test_best_cosines_come_from_each_batch(spark):
     every = vectors.cosine_rank(docs, "doc_id", queries, "item_id", gate).withColumn("score", F.round("score", 6))
     of = lambda df: sorted(map(tuple, retrieval.top(df, "item_id", [F.desc("score"), F.desc("doc_id")], 3).collect()))
     assert of(best) == of(every) and best.count() <= 3 * 3 < every.count() == 400
+
+
+def test_numbers_of_tokens_need_no_row_for_each(spark):
+    rows = [(0, ["b", "a", "zz", None, "b"]), (1, []), (2, None), (3, ["zz"]), (4, ["é", "a"])]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    words = spark.createDataFrame([("a", 7), ("b", 0), ("é", 3)], "token string, id long")
+    at_once, joined = ngrams.token_ids(docs, words, "doc_id"), ngrams.token_ids(docs, words, "doc_id", bound=2)
+    assert sorted(map(tuple, at_once.collect())) == sorted(map(tuple, joined.collect())) == [(0, [0, 7, 0]), (1, []), (2, []), (3, []), (4, [3, 7])]
+    assert "Join" not in at_once._jdf.queryExecution().optimizedPlan().toString()
