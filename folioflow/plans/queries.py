@@ -274,7 +274,7 @@ def text_whitespace(spark, sf_dir):
 @query(f"SELECT doc_id, {X.sql_prefilter('text')} AS text FROM documents")
 def text_prefilter(spark, sf_dir):
     """Cleanup and meta-tokens."""
-    return read(spark, sf_dir, "documents").select("doc_id", X.prefilter(F.col("text")).alias("text"))
+    return read(spark, sf_dir, "documents").select("doc_id", X.prefiltered(F.col("text")).alias("text"))
 
 
 @query()

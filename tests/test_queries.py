@@ -171,3 +171,10 @@ def test_numbers_of_many_parts_are_whole(spark):
             spark.conf.set(k, old[k]) if k in old else spark.conf.unset(k)
     assert sorted(p for _, p in got) == list(range(20_000))
     assert [u for u, _ in sorted(got, key=lambda r: r[1])] == sorted(u for u, _ in got)
+
+
+def test_meta_tokens_are_those_of_the_sql(spark):
+    texts = ["a\x0b@bob.x e.g. 3\u212am \u017fay 10 k\u212a\u017f", "see http://a.b/c?d, x@y.org, 1.2.3.4 f.py (10:30) 5 GB\\ [b]x[/b] ----", "", None, "\u20ac5 20\u20ac 90 \u00b0C", "x" * 70]
+    db = duckdb.connect()
+    want = [db.execute(f"SELECT {X.sql_prefilter('$1')}", [t]).fetchone()[0] if t is not None else None for t in texts]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1).select(X.prefiltered(F.col("t"))).collect()] == want
