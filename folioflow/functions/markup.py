@@ -11,11 +11,12 @@ from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.functions.text import clean_whitespace
+from folioflow.functions.text import clean_whitespace, each
 
 _BLOCKS = "p|div|section|article|main|header|footer|nav|aside|ul|ol|li|dl|dt|dd|table|thead|tbody|tr|td|th|h1|h2|h3|h4|h5|h6|pre|blockquote|figure|figcaption|form|fieldset|title|head|body|hr|br"
 _INLINE = "a|span|b|i|em|strong|code|small|sup|sub|label|q|cite|u|s|kbd|mark|time"
@@ -180,9 +181,9 @@ def page_text(html: Column, selectors: Selector | Sequence[Selector] = "body") -
     """
     chosen = [selectors] if isinstance(selectors, str | tuple) else list(selectors)
 
-    @F.pandas_udf(T.StringType())
-    def pick(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda x: text_of(x, chosen), na_action="ignore")
+    @F.arrow_udf(T.StringType())
+    def pick(pages: pa.Array) -> pa.Array:
+        return each(lambda x: text_of(x, chosen), pages)
 
     return clean_whitespace(pick(unminify(html)))
 

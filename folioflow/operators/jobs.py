@@ -81,7 +81,8 @@ def records(pages: DataFrame, selectors: Selector | Sequence[Selector] = "body")
     Pages of the encyclopaedia have their text in an element of its own.
     """
     h = F.col("html")
-    own = F.when(domain_of(F.col("url")).endswith("wikipedia.org"), page_text(h, ("div", {"id": "bodyContent"})))
+    # Other pages are null to the parser of the encyclopaedia's element, which leaves them alone.
+    own = page_text(F.when(domain_of(F.col("url")).endswith("wikipedia.org"), h), ("div", {"id": "bodyContent"}))
     rows = pages.withColumn("content", F.coalesce(F.nullif(own, F.lit("")), page_text(h, selectors)))
     rows = rows.withColumns({"title": page_title(h, F.col("content")), "excerpt": page_excerpt(h), "date": page_date(h), "lang": page_lang(h), "h1": headings(h, 1), "h2": headings(h, 2)})
     return rows.where("content <> '' AND title <> ''").drop("html")

@@ -227,3 +227,11 @@ def test_a_token_is_read_by_each_pattern_once(spark):
     one = spark.createDataFrame([("x",)], "t string").select(K.normalize_token(F.col("t"), stemmed=False, stop=False).alias("n"))
     plan = one._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("^[+-]?[0-9]+") == 1 and plan.count("^_+|_+$") == 1 and plan.count("^.+_.+$") == 1
+
+
+def test_the_encyclopaedias_element_is_sought_in_its_pages_only(spark):
+    pages = spark.createDataFrame([("https://a.org/x", "<title>t</title><body>b c</body>"), ("https://en.wikipedia.org/x", "<title>t</title><body>b<div id='bodyContent'>own</div></body>"), ("https://a.org/y", "<title>t</title><body> </body>")], "url string, html string")
+    made = jobs.records(pages)
+    assert {r["url"]: r["content"] for r in made.collect()} == {"https://a.org/x": "b c", "https://en.wikipedia.org/x": "own"}
+    picks = [x for x in made._jdf.queryExecution().analyzed().toString().split("pick(")[1:]]
+    assert any("CASE WHEN" in x.split(")#")[0] for x in picks)
